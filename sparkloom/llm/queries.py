@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, shards, tokens
+from . import jaccard, packing, shards, tokens
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_grouped_prefix_join(spark, sf_dir):
+    return jaccard.near_duplicates(_docs(spark, sf_dir))
+
+
 def op3_orc_tokens(spark, sf_dir):
     return tokens.tokenize_to_orc(_docs(spark, sf_dir))
 
@@ -21,5 +25,5 @@ def op10_pattern_packing(spark, sf_dir):
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_orc_tokens, op9_hash_ring, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op2_grouped_prefix_join, op3_orc_tokens, op9_hash_ring, op10_pattern_packing)}
 ORACLES: dict[str, str] = {}
