@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, shards, tokens
+from . import jaccard, langid, packing, shards, tokens, topk
 
 
 def _docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_uniform_threshold(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_grouped_prefix_join(spark, sf_dir):
     return jaccard.near_duplicates(_docs(spark, sf_dir))
 
@@ -17,6 +21,10 @@ def op3_orc_tokens(spark, sf_dir):
     return tokens.tokenize_to_orc(_docs(spark, sf_dir))
 
 
+def op7_nearest_centroid(spark, sf_dir):
+    return langid.identify(_docs(spark, sf_dir))
+
+
 def op9_hash_ring(spark, sf_dir):
     return shards.shard_documents(_docs(spark, sf_dir))
 
@@ -25,5 +33,20 @@ def op10_pattern_packing(spark, sf_dir):
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_grouped_prefix_join, op3_orc_tokens, op9_hash_ring, op10_pattern_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_uniform_threshold, op2_grouped_prefix_join, op3_orc_tokens, op7_nearest_centroid, op9_hash_ring, op10_pattern_packing)}
+ORACLES = {
+    "op1_uniform_threshold": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM (SELECT DISTINCT vec_id, embedding FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.vec) + 1), lambda i: q.vec[i] * c.vec[i])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
