@@ -7,10 +7,8 @@
    of a set that must meet that of a partner) are one group; only groups are indexed.
 3. Groups that share a prefix shingle, and pass the size and position filters, are candidates.
    Lists expand to classes, and class pairs are verified on whole sets.
-4. Lists are not expanded into all pairs at once: each round compares the first, then the next
-   few members of a list with the rest, only across components not yet joined. Rounds go on
-   until every list is one component or all its pairs have been compared, so no link between
-   components is lost.
+4. Lists are not expanded into all pairs: rounds (see rounds.py) compare members only across
+   components not yet joined, until every list is one component or all compared.
 
 Hashes have 64 bits; two different shingles count as equal with a probability of 2^-64.
 """
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, small_batches
-from .components import components
+from .rounds import connect, numbered
 from .words import shingle_sets
 
 #: Counters of the sketch, and the parts in which tasks send it.
@@ -136,39 +134,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     several = classes.join(groups.filter("many > 1"), ["n", "psig"]).select("gid", "cls", F.col("n").cast("int").alias("n"))
     other = lists.join(several.select("gid", "cls"), "gid", "left").select("token", F.coalesce("cls", "gid").alias("cls"), "n", "pos")
     own = several.select(F.xxhash64("gid", F.lit("group")).alias("token"), "cls", "n", F.lit(0).alias("pos"))
-    ranked = Window.partitionBy("token").orderBy("cls")
-    lists = scratch.keep(other.union(own).withColumn("rn", F.row_number().over(ranked)), "lists")
+    lists = scratch.keep(numbered(other.union(own)), "lists")
     # Lists may take many rounds: compact sets of what they name, read once from the texts.
     named = classes.join(lists.select("cls").distinct(), "cls").select(F.col("cls").alias("doc_id"), "sig")
     sets = scratch.keep(_class_sets(docs, named, size), "sets")
-    labels, failed = None, None
-    step, low = 1, 1
-    while True:
-        pairs = _candidates(lists, labels, low, low + step, percent)
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "leftanti")
-        a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("sa"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("sb"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        linked = F.expr(_passes(percent, "size(sa)", "size(sb)", "shared"))
-        tested = scratch.keep(pairs.join(a, "a").join(b, "b").withColumn("shared", shared).select("a", "b", linked.alias("linked")), "tested")
-        links = tested.filter("linked")
-        no = tested.filter("NOT linked").select("a", "b")
-        failed = no if failed is None else failed.union(no)
-        if labels is not None:
-            old = labels
-            at = lambda side: F.coalesce(F.col(f"c{side}"), F.col(side)).alias(side)
-            links = links.join(old.toDF("a", "ca"), "a", "left").join(old.toDF("b", "cb"), "b", "left").select(at("a"), at("b"))
-        if not links.isEmpty():
-            new = components(links.select("a", "b"), scratch)
-            if labels is not None:
-                moved = old.join(new.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-                new = moved.union(new.join(old.select("id"), "id", "leftanti"))
-            labels = scratch.keep(new, "labels")
-        low += step
-        step *= 4
-        if _done(lists, labels, low):
-            break
+    a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("sa"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("sb"))
+    linked = F.expr(_passes(percent, "size(sa)", "size(sb)", "size(array_intersect(sa, sb))"))
+    fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND " + _passes(percent, "n1", "n2", "least(pos1, pos2) + least(n1 - pos1, n2 - pos2)")
+    labels = connect(lists, ["n", "pos"], fits, lambda pairs: pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked")), scratch)
     if labels is not None:
         classes = classes.join(labels.toDF("cls", "component"), "cls", "left")
     else:
@@ -178,39 +152,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("label", F.col("cls"))
-    return lists.join(labels.toDF("cls", "component"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-
-
-def _open(lists: DataFrame, low: int) -> DataFrame:
-    """Lists of more than one component that have members from ``low`` on to compare with later ones."""
-    state = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rn").alias("last"))
-    return state.filter((F.col("x") != F.col("y")) & (F.col("last") > low)).select("token")
-
-
-def _done(lists: DataFrame, labels: DataFrame | None, low: int) -> bool:
-    return _open(_labelled(lists, labels), low).isEmpty()
-
-
-def _candidates(lists: DataFrame, labels: DataFrame | None, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs of a member from ``low`` to below ``high`` with a later one of another component."""
-    if labels is None and (low, high) == (1, 2):
-        first = F.first(F.struct("cls", "n", "pos")).over(Window.partitionBy("token").orderBy("rn"))
-        pairs = lists.withColumn("p", first).filter("rn > 1").select(F.col("p.cls").alias("c1"), F.col("p.n").alias("n1"), F.col("p.pos").alias("p1"), F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    else:
-        held = _labelled(lists, labels)
-        held = held.join(_open(held, low), "token", "leftsemi")
-        one = held.filter((F.col("rn") >= low) & (F.col("rn") < high)).select("token", F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("rn").alias("r1"), F.col("label").alias("l1"))
-        two = held.select(F.col("token").alias("t2"), F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("rn").alias("r2"), F.col("label").alias("l2"))
-        pairs = one.join(two, (F.col("token") == F.col("t2")) & (F.col("r2") > F.col("r1")) & (F.col("l1") != F.col("l2")))
-    sizes = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
-    places = _passes(percent, "n1", "n2", "least(p1, p2) + 1 + least(n1 - p1, n2 - p2) - 1")
-    pairs = pairs.filter(sizes).filter(places)
-    return pairs.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
-
-
 def _class_sets(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
     """doc_id, items of the named classes (doc_id, sig): only rows that a fixed-size filter lets through are shuffled."""
     bits = 1 << 22

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, packing, shards, tokens, topk
+from . import jaccard, langid, lines, packing, shards, tokens, topk
 
 
 def _docs(spark, sf_dir):
@@ -25,6 +25,11 @@ def op7_nearest_centroid(spark, sf_dir):
     return langid.identify(_docs(spark, sf_dir))
 
 
+def op8_fuzzy_lines(spark, sf_dir):
+    out = lines.dedup_lines(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_hash_ring(spark, sf_dir):
     return shards.shard_documents(_docs(spark, sf_dir))
 
@@ -33,7 +38,7 @@ def op10_pattern_packing(spark, sf_dir):
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_uniform_threshold, op2_grouped_prefix_join, op3_orc_tokens, op7_nearest_centroid, op9_hash_ring, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_uniform_threshold, op2_grouped_prefix_join, op3_orc_tokens, op7_nearest_centroid, op8_fuzzy_lines, op9_hash_ring, op10_pattern_packing)}
 ORACLES = {
     "op1_uniform_threshold": """
 WITH v AS (
