@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, lines, packing, shards, tokens, topk
+from pyspark.sql import functions as F
+
+from . import jaccard, langid, lines, packing, shards, suffixes, tokens, topk
 
 
 def _docs(spark, sf_dir):
@@ -21,6 +23,11 @@ def op3_orc_tokens(spark, sf_dir):
     return tokens.tokenize_to_orc(_docs(spark, sf_dir))
 
 
+def op4_backward_extension(spark, sf_dir):
+    out = suffixes.remove_repeats(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_nearest_centroid(spark, sf_dir):
     return langid.identify(_docs(spark, sf_dir))
 
@@ -38,7 +45,7 @@ def op10_pattern_packing(spark, sf_dir):
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_uniform_threshold, op2_grouped_prefix_join, op3_orc_tokens, op7_nearest_centroid, op8_fuzzy_lines, op9_hash_ring, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_uniform_threshold, op2_grouped_prefix_join, op3_orc_tokens, op4_backward_extension, op7_nearest_centroid, op8_fuzzy_lines, op9_hash_ring, op10_pattern_packing)}
 ORACLES = {
     "op1_uniform_threshold": """
 WITH v AS (
