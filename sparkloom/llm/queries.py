@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lines, packing, shards, suffixes, tokens, topk
+from . import decontam, jaccard, langid, lines, packing, secrets, shards, suffixes, tokens, topk
 
 
 def _docs(spark, sf_dir):
@@ -28,6 +28,15 @@ def op4_backward_extension(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_template_windows(spark, sf_dir):
+    out = decontam.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "item_id", "n_windows", "item_windows", "exact")
+
+
+def op6_char_network(spark, sf_dir):
+    return secrets.find_secrets(_docs(spark, sf_dir))
+
+
 def op7_nearest_centroid(spark, sf_dir):
     return langid.identify(_docs(spark, sf_dir))
 
@@ -45,7 +54,7 @@ def op10_pattern_packing(spark, sf_dir):
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_uniform_threshold, op2_grouped_prefix_join, op3_orc_tokens, op4_backward_extension, op7_nearest_centroid, op8_fuzzy_lines, op9_hash_ring, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_uniform_threshold, op2_grouped_prefix_join, op3_orc_tokens, op4_backward_extension, op5_template_windows, op6_char_network, op7_nearest_centroid, op8_fuzzy_lines, op9_hash_ring, op10_pattern_packing)}
 ORACLES = {
     "op1_uniform_threshold": """
 WITH v AS (
