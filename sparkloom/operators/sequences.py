@@ -94,8 +94,9 @@ def mask(df: DataFrame, spans: DataFrame, hard: bool = False) -> DataFrame:
     hidden = lambda x: F.repeat(F.lit("N"), F.length(x)) if hard else F.translate(x, seqs.UPPER, seqs.LOWER)
     one = lambda x, p: F.overlay(x, hidden(F.substring(x, p["s"].cast("int"), (p["e"] - p["s"] + 1).cast("int"))), p["s"].cast("int"), (p["e"] - p["s"] + 1).cast("int"))
     bad = F.exists("_spans", lambda p: (p["s"] < 1) | (p["e"] > F.length("seq")))
-    out = df.join(by, "name", "left").withColumn("_ok", F.when(bad, F.raise_error(F.lit("span beyond its sequence"))))
-    return out.withColumn("seq", F.when(F.col("_spans").isNull(), F.col("seq")).otherwise(F.aggregate("_spans", F.col("seq"), one))).drop("_spans", "_ok")
+    out = df.join(by, "name", "left")
+    text = F.when(F.col("_spans").isNull(), F.col("seq")).when(bad, F.raise_error(F.lit("span beyond its sequence")).cast("string")).otherwise(F.aggregate("_spans", F.col("seq"), one))
+    return out.withColumn("seq", text).drop("_spans")
 
 
 def extract(df: DataFrame, ranges: DataFrame) -> DataFrame:
