@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import types
@@ -51,15 +52,21 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.written = spark, {}, 0
         self.top = f"{shared_folder(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.top)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.paths[name] = f"{self.top}/{name}-{len(self.paths)}"
+        self.written += 1
+        path = self.paths[name] = f"{self.top}/{name}-{self.written}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let go of shuffle files that no live frame needs: Spark deletes them when the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for n in names:
             if n in self.paths:
