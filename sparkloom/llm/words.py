@@ -85,21 +85,32 @@ def joined(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
+def pieces(column: pa.Array, most: int = 1 << 19):
+    """Yields (first row, slice of the column) with about ``most`` bytes, or one text."""
+    _, offsets = text_bytes(column)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def shingle_sets(column: pa.Array, size: int = 5):
     """Yields (row, ascending distinct hashes) of each text: runs of ``size`` words, fewer words as one run."""
-    raw, offsets = text_bytes(column)
-    starts, ends, first = word_spans(~BLANK[raw], offsets)
-    words = word_hashes(LOWER[raw], starts, ends)
-    runs = joined(words, size)
-    for i in range(len(column)):
-        a, b = first[i], first[i + 1]
-        if b - a >= size:
-            h = np.sort(runs[a : b - size + 1])
-            keep = np.empty(len(h), bool)
-            keep[:1] = True
-            np.not_equal(h[1:], h[:-1], out=keep[1:])
-            yield i, h[keep]
-        elif b > a:
-            yield i, joined(words[a:b], int(b - a)) ^ np.uint64(b - a)
-        else:
-            yield i, words[:0]
+    for at, part in pieces(column):
+        raw, offsets = text_bytes(part)
+        starts, ends, first = word_spans(~BLANK[raw], offsets)
+        words = word_hashes(LOWER[raw], starts, ends)
+        runs = joined(words, size)
+        for i in range(len(part)):
+            a, b = first[i], first[i + 1]
+            if b - a >= size:
+                h = np.sort(runs[a : b - size + 1])
+                keep = np.empty(len(h), bool)
+                keep[:1] = True
+                np.not_equal(h[1:], h[:-1], out=keep[1:])
+                yield at + i, h[keep]
+            elif b > a:
+                yield at + i, joined(words[a:b], int(b - a)) ^ np.uint64(b - a)
+            else:
+                yield at + i, words[:0]
