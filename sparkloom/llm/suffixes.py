@@ -28,7 +28,7 @@ LENGTH, K = 400, 128
 #: Rows of an anchor that go through the transform in one task; more are compared by window hashes.
 MOST = 20_000
 #: Bytes of texts that are worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _key() -> list:
@@ -40,7 +40,7 @@ def _parts(offsets: np.ndarray, length: int):
     i, n = 0, len(offsets) - 1
     while i < n:
         size = offsets[i + 1] - offsets[i]
-        if size > 4 * PIECE:
+        if size > 8 * PIECE:
             for at in range(0, int(size) - length + 1, PIECE):
                 yield int(offsets[i]) + at, int(offsets[i]) + min(int(size), at + PIECE + length - 1), np.array([i]), np.array([0, min(int(size), at + PIECE + length - 1) - at]), at
             i += 1
@@ -53,8 +53,12 @@ def _parts(offsets: np.ndarray, length: int):
 
 
 def anchored_rows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K):
-    """(row, first window, windows, anchor's distance from the first window, anchor hash, content hash) of each run of windows."""
-    span = length - k + 1
+    """(row, first window, windows, anchor's distance from the first window, anchor hash, content hash) of each run of windows.
+
+    The upper bits of the hashes choose the anchor; the lower bits of a key hold the place, so the
+    least key of a window is that of its leftmost anchor.
+    """
+    span, low = length - k + 1, np.uint64((1 << 23) - 1)
     for a, b, rows, ends, base in _parts(offsets, length):
         x = raw[a:b]
         if len(x) < length:
@@ -64,52 +68,30 @@ def anchored_rows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k:
         np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=sums[1:])
         h = mixed((sums[k:] - sums[:-k]) * down[: len(x) - k + 1])
         n = len(h) - span + 1
-        pad = (-len(h)) % span
-        blocks = np.concatenate([h, np.full(pad, ~np.uint64(0))]).reshape(-1, span)
+        blocks = np.full(-(-len(h) // span) * span, ~np.uint64(0))
+        blocks[: len(h)] = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        blocks = blocks.reshape(-1, span)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[:n], ahead[span - 1 : span - 1 + n])
-        row = np.repeat(np.arange(len(rows)), np.diff(ends))[:n]
-        inside = np.arange(n) + length <= ends[row + 1]
-        # a new run where the least hash or the text changes, or where the anchor leaves the window to its equal
+        place = (np.minimum(back[:n], ahead[span - 1 : span - 1 + n]) & low).astype(np.int64)
+        # runs end where the anchor changes or a window would leave its text
         new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
-        first = np.flatnonzero(new & inside)
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        heads = ends[:-1]
+        new[heads[heads < n]] = True
+        stop = np.maximum(ends[1:] - length + 1, ends[:-1])  # first window of each text that does not fit
+        new[stop[stop < n]] = True
+        first = np.flatnonzero(new)
+        stops = np.append(first[1:], n)
+        row = np.searchsorted(ends, first, side="right") - 1
+        keep = (first + length <= ends[row + 1]) & (stops > first)
+        first, stops, row = first[keep], stops[keep], row[keep]
         if not len(first):
             continue
-        stops = np.flatnonzero(np.append(new[1:] | ~inside[1:], True) & inside) + 1
-        # the leftmost place of the anchor in the first window of the run
-        place = _places(h, least[first], first, span)
-        # runs longer than the anchor's reach hold a second, equal anchor: cut them there
-        while (over := stops > place + 1).any():
-            more = np.flatnonzero(over)
-            cut = place[more] + 1
-            first, stops = np.concatenate([first, cut]), np.concatenate([np.where(over, place + 1, stops), stops[more]])
-            place = np.concatenate([place, _places(h, least[cut], cut, span)])
         end = stops + length - 1
         content = mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
-        yield rows[row[first]], first - ends[row[first]] + base, stops - first, place - first, least[first], content
-
-
-def _places(h: np.ndarray, values: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    """The first place from each start on where h has the value; it lies within ``span``."""
-    wanted = np.flatnonzero(np.isin(h, values))
-    order = np.lexsort((wanted, h[wanted]))
-    keys, spots = h[wanted][order], wanted[order]
-    # the rank of (value, start) among the sorted (value, place)
-    lo = np.searchsorted(keys, values, side="left")
-    hi = np.searchsorted(keys, values, side="right")
-    out = spots[np.minimum(lo, len(spots) - 1)].copy()
-    late = out < starts
-    while late.any():
-        lo = np.where(late, lo + 1, lo)
-        many = late & (hi - lo > 8)
-        if many.any():  # a value at many places: search for the start among them
-            for i in np.flatnonzero(many):
-                lo[i] += np.searchsorted(spots[lo[i] : hi[i]], starts[i])
-        out = np.where(late, spots[np.minimum(lo, len(spots) - 1)], out)
-        late = out < starts
-    return out
+        at = place[first]
+        yield rows[row], first - ends[row] + base, stops - first, at - first, h[at], content
 
 
 class _Range:
@@ -291,6 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     rows = scratch.keep(_scan(own, length, k), "rows")
     kinds = rows.groupBy("anchor", "content", "place", "windows").agg(F.count("*").alias("copies"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("start").alias("start"))
     kinds = scratch.keep(kinds, "kinds")
+    scratch.release()
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
     several = kinds.join(anchors.filter("kinds > 1"), "anchor")
     texts = scratch.keep(_texts(own, several.drop("copies"), length).join(anchors.filter("kinds > 1"), "anchor"), "texts")
@@ -303,6 +286,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     hit = _filter_by(rows, "anchor", found.select(F.col("anchor").alias("id")).distinct()).join(found, ["anchor", "content"])
     spans = hit.select("k1", "k2", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + length).alias("b"))
     spans = scratch.keep(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    scratch.drop("rows", "kinds", "texts", "found")
+    scratch.release()
     return _cut(docs, spans)
 
 
