@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import queries as q
+from sparkloom.plans import more, queries as q  # noqa: F401  more adds its queries
 
 DATA = "/root/testdata/sf0.001"
 SLOW = {"kmer_profile", "fa_six_frame"}
