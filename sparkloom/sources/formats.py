@@ -112,7 +112,7 @@ def read_paf(spark: SparkSession, path) -> DataFrame:
 
 def read_chain(spark: SparkSession, path) -> DataFrame:
     """Header columns and blocks (size, dt, dq) of each chain; comment lines are skipped."""
-    text = F.trim(F.regexp_replace("value", r"(?m)^#.*$", ""))
+    text = F.regexp_replace(F.regexp_replace("value", r"(?m)^#.*$", ""), r"^\s+|\s+$", "")
     rows = _lines(spark, path, "\n\n").select(text.alias("t")).filter(F.col("t").startswith("chain"))
     lines = F.split("t", r"\s*\n")
     h = F.split(F.element_at(lines, 1), r"\s+")
@@ -124,7 +124,7 @@ def read_chain(spark: SparkSession, path) -> DataFrame:
 
 
 def read_axt(spark: SparkSession, path) -> DataFrame:
-    text = F.trim(F.regexp_replace("value", r"(?m)^#.*$", ""))
+    text = F.regexp_replace(F.regexp_replace("value", r"(?m)^#.*$", ""), r"^\s+|\s+$", "")
     lines = F.split("t", r"\s*\n")
     h = F.split(F.element_at(lines, 1), r"\s+")
     names = [("id", "int"), ("t_name", "string"), ("t_start", "long"), ("t_end", "long"), ("q_name", "string"), ("q_start", "long"), ("q_end", "long"), ("q_strand", "string"), ("score", "long")]
