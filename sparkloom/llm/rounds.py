@@ -51,6 +51,7 @@ def connect(lists: DataFrame, attrs: list[str], keep: str, test: Callable[[DataF
                 new = moved.union(new.join(labels.select("id"), "id", "leftanti"))
             labels = scratch.keep(new, "labels")
         low += step
+        scratch.release()
         lists = scratch.keep(_open(lists, labels, low), "lists")
         if lists.isEmpty():
             return labels
