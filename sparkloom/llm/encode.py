@@ -16,7 +16,7 @@ from itertools import islice
 from .common import process_cache
 
 #: Words that a worker's memo holds at most; beyond it, the half that came last goes.
-MEMO = 800_000
+MEMO = 700_000
 _RUNS = re.compile(r"\s\s|^\s|\s$|\r")
 #: Letters below this character count as letters in every version of Unicode.
 LATIN = "ɐ"
@@ -70,13 +70,15 @@ class Encoder:
 
     def _learn(self, key: str) -> bytes:
         """Letters are one pre-token, and so is a run of punctuation after them; the rest is encoded as text."""
-        word, space = (key.lstrip("\r"), "") if key[:1] == "\r" else (key, " ")
-        spelled = _SPACE if space else ""
-        if key[:2] == "\r\r" or not word:
-            ids = self._whole(word)
-        elif word.isalpha() and max(word) < LATIN:
+        if key[:1] == "\r":
+            word, space, spelled = key.lstrip("\r"), "", ""
+        else:
+            word, space, spelled = key, " ", _SPACE
+        if word.isalpha() and (word.isascii() or max(word) < LATIN) and key[:2] != "\r\r":
             ids = self._pretoken(word, spelled)
-        elif (m := _TAILED.fullmatch(word)) and m[1].isalpha() and max(m[1]) < LATIN:
+        elif key[:2] == "\r\r" or not word:
+            ids = self._whole(word)
+        elif (m := _TAILED.fullmatch(word)) and m[1].isalpha() and (m[1].isascii() or max(m[1]) < LATIN):
             ids = self.memo[m[1] if space else "\r" + m[1]] + self._pretoken(m[2], "")
         else:
             ids = self._whole(space + word)
