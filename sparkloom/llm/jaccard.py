@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bits import without
 from .common import Scratch, arrow_map, small_batches
 from .rounds import connect, numbered
 from .words import shingle_sets
@@ -124,7 +125,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     groups = classes.groupBy("n", "psig").agg(F.min("cls").alias("gid"), F.count("*").alias("many"))
 
     # Lists of groups that share a prefix shingle.
-    index = live.select("doc_id", "psig", "n", "prefix").join(groups.select(F.col("gid").alias("doc_id"), "psig"), ["doc_id", "psig"], "leftsemi")
+    # a row for each group: rows of other documents are taken out, few of them by a shuffle
+    held = live.select("doc_id", "n", "psig").join(groups, ["n", "psig"])
+    others = scratch.keep(held.filter("doc_id <> gid").select("doc_id", "psig").distinct(), "others")
+    index = without(live.select("doc_id", "psig", "n", "prefix"), ["doc_id", "psig"], others)
     index = index.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     by = Window.partitionBy("token").orderBy("gid")
     lists = index.withColumn("prev", F.lag("gid").over(by)).withColumn("next", F.lead("gid").over(by))
@@ -135,20 +139,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     other = lists.join(several.select("gid", "cls"), "gid", "left").select("token", F.coalesce("cls", "gid").alias("cls"), "n", "pos")
     own = several.select(F.xxhash64("gid", F.lit("group")).alias("token"), "cls", "n", F.lit(0).alias("pos"))
     lists = scratch.keep(numbered(other.union(own)), "lists")
-    # Lists may take many rounds: compact sets of what they name, read once from the texts.
-    named = classes.join(lists.select("cls").distinct(), "cls").select(F.col("cls").alias("doc_id"), "sig")
-    sets = scratch.keep(_class_sets(docs, named, size), "sets")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("sb"))
+    scratch.release()
+    narrow = scratch.keep(rows.select("doc_id", "n", "sig"), "narrow")
+    scratch.drop("prefixes", "others")
     linked = F.expr(_passes(percent, "size(sa)", "size(sb)", "size(array_intersect(sa, sb))"))
     fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND " + _passes(percent, "n1", "n2", "least(pos1, pos2) + least(n1 - pos1, n2 - pos2)")
-    labels = connect(lists, ["n", "pos"], fits, lambda pairs: pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked")), scratch)
+
+    def test(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the classes that pairs name, read from the texts, and their intersections."""
+        scratch.drop("sets", "pairs")
+        pairs = scratch.keep(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs.withColumn("linked", F.lit(False))
+        ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        named = classes.join(ids, "cls").select(F.col("cls").alias("doc_id"), "sig")
+        sets = scratch.keep(_class_sets(docs, named, size), "sets")
+        scratch.release()
+        a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked"))
+
+    labels = connect(lists, ["n", "pos"], fits, test, scratch)
+    scratch.drop("sets", "pairs")
     if labels is not None:
         classes = classes.join(labels.toDF("cls", "component"), "cls", "left")
     else:
         classes = classes.withColumn("component", F.col("cls"))
     joined = classes.select("sig", "copies", F.col("cls"), F.coalesce("component", "cls").alias("component")).filter("copies > 1 OR component <> cls").select("sig", "component")
-    out = rows.select("doc_id", "n", "sig").join(joined, "sig", "left")
+    out = narrow.join(joined, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
