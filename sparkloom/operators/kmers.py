@@ -9,11 +9,22 @@ from ..functions import seqs
 
 #: Fixed value: the largest count of histograms and profiles.
 TOP = 32767
+#: Starts of k-mers in a tile.
+TILE = 256
+
+
+def _places(df: DataFrame, k: int, text: str = "seq") -> DataFrame:
+    """name, off, kmer of all k-mers; sequences are cut in tiles first, since a substring far in a text costs its way there."""
+    n = F.length(text)
+    cut = df.filter(n >= k).select("name", text, F.explode(F.sequence(F.lit(0), n - k, F.lit(TILE))).alias("_base"))
+    tiles = cut.select("name", "_base", F.substring(text, F.col("_base") + 1, F.lit(TILE + k - 1)).alias("_tile"))
+    rows = tiles.select("name", "_base", F.posexplode(seqs.kmers(F.col("_tile"), k)).alias("_i", "kmer"))
+    return rows.select("name", (F.col("_base") + F.col("_i")).alias("off"), "kmer")
 
 
 def occurrences(df: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     """name, off (0-based) and kmer of every k-mer of ACGT only."""
-    rows = df.select("name", F.posexplode(seqs.kmers(F.col("seq"), k)).alias("off", "kmer"))
+    rows = _places(df, k)
     rows = rows.filter(F.length(F.translate("kmer", "ACGT", "")) == 0)
     return rows.withColumn("kmer", seqs.canonical(F.col("kmer"))) if canonical else rows
 
@@ -34,7 +45,7 @@ def gc_matrix(tab: DataFrame, top: int) -> DataFrame:
 
 def profile(df: DataFrame, tab: DataFrame, k: int) -> DataFrame:
     """name, off, n of every position that starts a k-mer; 0 where it holds other letters or is not in the table."""
-    rows = df.select("name", F.posexplode(seqs.kmers(F.col("seq"), k)).alias("off", "kmer")).withColumn("kmer", seqs.canonical(F.col("kmer")))
+    rows = _places(df, k).withColumn("kmer", seqs.canonical(F.col("kmer")))
     return rows.join(tab, "kmer", "left").select("name", F.col("off").cast("long").alias("off"), F.least(F.coalesce("n", F.lit(0)), F.lit(TOP)).cast("long").alias("n"))
 
 
@@ -55,12 +66,12 @@ def hash60(x: Column) -> Column:
 
 def minimizers(df: DataFrame, k: int) -> DataFrame:
     """name, h: all k-mers of a record (window 1), as they stand."""
-    return df.select("name", F.explode(seqs.kmers(F.col("seq"), k)).alias("kmer")).select("name", hash60(F.col("kmer")).alias("h")).distinct()
+    return _places(df, k).select("name", hash60(F.col("kmer")).alias("h")).distinct()
 
 
 def syncmers(df: DataFrame, s: int, w: int) -> DataFrame:
     """name, off, h: the s-mers at an end of a window of w that hold its least hash; the first end wins ties."""
-    rows = df.select("name", F.posexplode(seqs.kmers(F.col("seq"), s)).alias("off", "smer")).withColumn("h", hash60(F.col("smer")))
+    rows = _places(df, s).withColumn("h", hash60(F.col("kmer")))
     order = Window.partitionBy("name").orderBy("off")
     rows = rows.withColumn("least", F.min("h").over(order.rowsBetween(0, w - 1))).withColumn("last", F.lead("h", w - 1).over(order)).filter("last IS NOT NULL")
     end = F.when(F.col("h") == F.col("least"), F.col("off")).when(F.col("last") == F.col("least"), F.col("off") + w - 1)
