@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that goes to Python; long texts make batches of fewer rows.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,12 +73,26 @@ class Scratch:
                 _delete(self.spark, self.paths.pop(n))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on after its task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` takes and yields pyarrow tables or batches; one call for each partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield from out.to_batches(max_chunksize=65536) if isinstance(out, pa.Table) else [out]
+        try:
+            for out in fn(batches):
+                yield from out.to_batches(max_chunksize=65536) if isinstance(out, pa.Table) else [out]
+        finally:
+            trim()
 
     return df.mapInArrow(run, schema)
 

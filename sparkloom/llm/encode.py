@@ -16,7 +16,7 @@ from itertools import islice
 from .common import process_cache
 
 #: Words that a worker's memo holds at most; beyond it, the half that came last goes.
-MEMO = 700_000
+MEMO = 150_000
 _RUNS = re.compile(r"\s\s|^\s|\s$|\r")
 #: Letters below this character count as letters in every version of Unicode.
 LATIN = "ɐ"
