@@ -6,7 +6,8 @@
 2. Texts with equal sets are one class. Classes with the same size and the same prefix (the part
    of a set that must meet that of a partner) are one group; only groups are indexed.
 3. Groups that share a prefix shingle, and pass the size and position filters, are candidates.
-   Lists expand to classes, and class pairs are verified on whole sets.
+   Lists expand to classes; pairs whose bit marks leave room for enough overlap are verified on
+   whole sets.
 4. Lists are not expanded into all pairs: rounds (see rounds.py) compare members only across
    components not yet joined, until every list is one component or all compared.
 
@@ -29,12 +30,21 @@ from .words import shingle_sets
 
 #: Counters of the sketch, and the parts in which tasks send it.
 COUNTERS, PARTS = 1 << 20, 64
+#: Numbers of 64 bits in a class's bit marks, which bound overlaps from above.
+MARKS = 16
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
+def _marks(h: np.ndarray) -> np.ndarray:
+    """1,024 bits, as 16 numbers: those that the low bits of a set's hashes name."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(h & np.uint64(64 * MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sig(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
@@ -73,9 +83,10 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches):
         counts = order.value
         for b in batches:
-            n, sig, psig, prefix = [], [], [], []
+            n, sig, psig, prefix, marks = [], [], [], [], []
             for _, h in shingle_sets(b.column("text"), size):
                 n.append(len(h))
+                marks.append(_marks(h))
                 if not len(h):
                     sig.append(None), psig.append(None), prefix.append(h)
                     continue
@@ -86,9 +97,9 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 prefix.append(first)
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "psig": pa.array(psig, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "psig": pa.array(psig, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), "marks": pa.array([list(m) for m in marks], pa.list_(pa.int64()))})
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, sig binary, psig binary, prefix array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, sig binary, psig binary, prefix array<long>, marks array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -121,7 +132,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     docs = docs.select("doc_id", "text")
     rows = scratch.keep(_prefixes(docs, size, percent), "prefixes")
     live = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(live.groupBy("sig", "n", "psig").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies")), "classes")
+    classes = scratch.keep(live.groupBy("sig", "n", "psig").agg(F.min("doc_id").alias("cls"), F.count("*").alias("copies"), *[F.max(F.get("marks", F.lit(i))).alias(f"m{i}") for i in range(MARKS)]), "classes")
     groups = classes.groupBy("n", "psig").agg(F.min("cls").alias("gid"), F.count("*").alias("many"))
 
     # Lists of groups that share a prefix shingle.
@@ -143,11 +154,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     narrow = scratch.keep(rows.select("doc_id", "n", "sig"), "narrow")
     scratch.drop("prefixes", "others")
     linked = F.expr(_passes(percent, "size(sa)", "size(sb)", "size(array_intersect(sa, sb))"))
+    # bits that differ are at most the elements that differ: ham <= n1 + n2 - 2 overlap
+    ham = " + ".join(f"bit_count(m{i}1 ^ m{i}2)" for i in range(MARKS))
+    near = f"{100 + percent} * (n1 + n2 - ({ham})) >= {2 * percent} * (n1 + n2)"
+    marks = classes.select("cls", *[f"m{i}" for i in range(MARKS)])
+    sided = lambda key, x: classes.select(F.col("cls").alias(key), F.col("n").alias(f"n{x}"), *[F.col(f"m{i}").alias(f"m{i}{x}") for i in range(MARKS)])
     fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND " + _passes(percent, "n1", "n2", "least(pos1, pos2) + least(n1 - pos1, n2 - pos2)")
 
     def test(pairs: DataFrame) -> DataFrame:
         """Whole sets of the classes that pairs name, read from the texts, and their intersections."""
         scratch.drop("sets", "pairs")
+        pairs = pairs.join(sided("a", 1), "a").join(sided("b", 2), "b").filter(near).select("a", "b")
         pairs = scratch.keep(pairs, "pairs")
         if pairs.isEmpty():
             return pairs.withColumn("linked", F.lit(False))
@@ -158,7 +175,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         return pairs.join(a, "a").join(b, "b").select("a", "b", linked.alias("linked"))
 
-    labels = connect(lists, ["n", "pos"], fits, test, scratch)
+    labels = connect(lists, ["n", "pos"], fits, test, scratch, steps=(1, 32), marks=marks, near=near)
     scratch.drop("sets", "pairs")
     if labels is not None:
         classes = classes.join(labels.toDF("cls", "component"), "cls", "left")

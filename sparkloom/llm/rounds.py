@@ -23,18 +23,19 @@ def numbered(lists: DataFrame) -> DataFrame:
     return lists.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy("cls")))
 
 
-def connect(lists: DataFrame, attrs: list[str], keep: str, test: Callable[[DataFrame], DataFrame], scratch: Scratch, steps: tuple[int, ...] = (1, 8)) -> DataFrame | None:
+def connect(lists: DataFrame, attrs: list[str], keep: str, test: Callable[[DataFrame], DataFrame], scratch: Scratch, steps: tuple[int, ...] = (1, 8), marks: DataFrame | None = None, near: str = "true") -> DataFrame | None:
     """(id, component) of all ids that links join, or None without links.
 
     ``lists`` has token, cls, rn and ``attrs``; ``keep`` is an SQL condition on attrs of two
     members (x1, x2 for attr x) that pairs must meet; ``test`` turns (a, b) into (a, b, linked).
+    ``marks`` has more columns of cls, and ``near`` a condition on them, for rounds after the first.
     The number of pivots of a list is ``steps`` and then four times the one before.
     """
     labels, failed, low, n = None, None, 1, 0
     while True:
         step = steps[n] if n < len(steps) else step * 4  # noqa: F821
         n += 1
-        pairs = _pairs(lists, attrs, keep, labels, low, low + step)
+        pairs = _pairs(lists, attrs, keep, labels, low, low + step, marks, near)
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "leftanti")
         tested = scratch.keep(test(pairs), "tested")
@@ -70,7 +71,7 @@ def _open(lists: DataFrame, labels: DataFrame | None, low: int) -> DataFrame:
     return lists.join(state.filter((F.col("x") != F.col("y")) & (F.col("last") > low)).select("token"), "token", "leftsemi")
 
 
-def _pairs(lists: DataFrame, attrs: list[str], keep: str, labels: DataFrame | None, low: int, high: int) -> DataFrame:
+def _pairs(lists: DataFrame, attrs: list[str], keep: str, labels: DataFrame | None, low: int, high: int, marks: DataFrame | None = None, near: str = "true") -> DataFrame:
     """Pairs of a member from ``low`` to below ``high`` with a later one of another component."""
     if (low, high) == (1, 2):
         first = F.first(F.struct("cls", *attrs)).over(Window.partitionBy("token").orderBy("rn"))
@@ -78,6 +79,8 @@ def _pairs(lists: DataFrame, attrs: list[str], keep: str, labels: DataFrame | No
         pairs = both.select(F.col("p.cls").alias("c1"), *[F.col(f"p.{x}").alias(f"{x}1") for x in attrs], F.col("cls").alias("c2"), *[F.col(x).alias(f"{x}2") for x in attrs]).filter(keep)
     else:
         held = _labelled(lists, labels)
+        if marks is not None:
+            held, attrs, keep = held.join(marks, "cls"), [*attrs, *[c for c in marks.columns if c != "cls"]], f"({keep}) AND {near}"
         side = lambda i: [F.col(x).alias(f"{x}{i}") for x in (*attrs, "rn", "label", "token")] + [F.col("cls").alias(f"c{i}")]
         one = held.filter((F.col("rn") >= low) & (F.col("rn") < high)).select(*side(1))
         pairs = one.join(held.select(*side(2)), F.expr(f"token1 = token2 AND rn2 > rn1 AND label1 <> label2 AND ({keep})"))
