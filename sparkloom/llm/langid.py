@@ -3,7 +3,7 @@
 A text's bytes in lower case, with what is no letter as a space, give hashed n-gram counts; the
 vector is log counts times inverse document frequency, of length 1. Each language has several
 centroids (spherical k-means); a text gets the language of the centroid with the largest cosine.
-A text whose cosine is far below what its language's own texts reach is rejected.
+A text whose cosine is below what its language's own held-out texts of about its size reach is rejected.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .words import text_bytes
 DIMS, GRAMS = 4096, (2, 3)
 #: Labelled rows of a language that the centroids are fitted on, about; a bound of the fit alone.
 SAMPLE, CENTROIDS = 600, 4
-#: A text is rejected below this part of the cosine that all but a hundredth of its language's sample reach.
-REJECT = 0.1
+#: Bounds of rejection: they keep all but this share of a language's held-out texts and of their beginnings of CUTS bytes.
+REJECT, CUTS = 0.01, (4, 8, 16, 32, 64, 128, 256, 512, 1024)
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[65:91] = np.arange(97, 123)
@@ -74,44 +74,107 @@ def training_rows(docs: DataFrame, label: str = "lang") -> DataFrame:
 
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict:
-    """The model: labels, centroids and their labels, idf, and each label's rejection bound.
+    """The model: labels, centroids and their labels, idf, and each label's rejection bounds by size of a text.
 
-    Learns from about ``sample`` rows of each label, chosen by a hash of the id.
+    Learns from about ``sample`` rows of each label, chosen by a hash of the id, two thirds of them
+    if there are fewer; half as many others set the bounds.
     """
     small_batches(docs.sparkSession)
     rows = training_rows(docs, label).select("doc_id", "text", F.col(label).cast("string").alias("label"))
     many = rows.groupBy("label").count()
     unit = 1 << 30
-    chosen = rows.join(many, "label").filter(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) * F.col("count") < F.lit(sample * unit))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(unit)) * F.greatest("count", F.lit(sample * 3 // 2))
+    chosen = rows.join(many, "label").withColumn("held", place >= F.lit(sample * unit)).filter(place < F.lit(sample * 3 // 2 * unit))
 
     def run(batches):
         for b in batches:
-            texts, labels = b.column("text"), b.column("label").to_pylist()
-            plain = texts.to_pylist()
-            for at, c in counts(texts):
+            plain, labels, held = [], [], []
+            for t, label, h in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), b.column("held").to_pylist()):
+                parts = [t, *beginnings(t)] if h else [t]
+                plain, labels, held = plain + parts, labels + [label] * len(parts), held + [h] * len(parts)
+            for at, c in counts(pa.array(plain, pa.string())):
                 for i, row in enumerate(c):
                     if has_letter(plain[at + i]):
                         dims = np.flatnonzero(row)
-                        yield pa.RecordBatch.from_pydict({"label": pa.array([labels[at + i]]), "dims": pa.array([dims.astype(np.int32)]), "n": pa.array([row[dims].astype(np.int32)])})
+                        yield pa.RecordBatch.from_pydict({"label": pa.array([labels[at + i]]), "held": pa.array([held[at + i]]), "dims": pa.array([dims.astype(np.int32)]), "n": pa.array([row[dims].astype(np.int32)])})
 
-    got = arrow_map(chosen.select("label", "text"), run, "label string, dims array<int>, n array<int>").collect()
+    got = arrow_map(chosen.select("label", "held", "text"), run, "label string, held boolean, dims array<int>, n array<int>").collect()
     got.sort(key=lambda r: (r.label, r.dims, r.n))
     labels = sorted({r.label for r in got})
     if not labels:
-        return {"labels": [], "of": np.zeros(0, int), "centres": np.zeros((0, DIMS), np.float32), "idf": np.ones(DIMS, np.float32), "least": np.zeros(0)}
-    c = np.zeros((len(got), DIMS), np.int32)
-    for i, r in enumerate(got):
-        c[i, r.dims] = r.n
+        return {"labels": [], "of": np.zeros(0, int), "centres": np.zeros((0, DIMS), np.float32), "idf": np.ones(DIMS, np.float32), "least": np.zeros((0, 16))}
+    # a label with rows on one side alone uses them on both
+    learned, kept = {r.label for r in got if not r.held}, {r.label for r in got if r.held}
+    held = [r for r in got if r.held or r.label not in kept]
+    got = [r for r in got if not r.held or r.label not in learned]
+    c = _dense(got)
     idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1).astype(np.float32)
     x, y = weighted(c, idf), np.array([labels.index(r.label) for r in got])
-    centres, of, least = [], [], []
+    centres, of = [], []
     for k in range(len(labels)):
         own = x[y == k]
         mine = _cluster(own, min(centroids, len(own)))
         centres.append(mine)
         of += [k] * len(mine)
-        least.append(REJECT * float(np.quantile((own @ mine.T).max(axis=1), 0.01)))
-    return {"labels": labels, "of": np.array(of), "centres": np.concatenate(centres), "idf": idf, "least": np.array(least)}
+    model = {"labels": labels, "of": np.array(of), "centres": np.concatenate(centres), "idf": idf}
+    return model | {"least": _bounds(held, model)}
+
+
+def beginnings(text: str) -> list[str]:
+    """The text's beginnings of CUTS bytes, as far as it is longer; a character that is cut is left out."""
+    raw = text.encode()
+    return [raw[:n].decode(errors="ignore") for n in CUTS if n < len(raw)]
+
+
+def sizes(c: np.ndarray) -> np.ndarray:
+    """The size class of rows: the binary digits of their number of different n-grams."""
+    return np.frexp((c > 0).sum(axis=1))[1]
+
+
+def noise(n: int = 200, seed: int = 5) -> list[str]:
+    """Texts of random letters in words of random lengths, and their beginnings."""
+    r = np.random.default_rng(seed)
+    out = ["".join(chr(x) for x in np.where(r.random(2048) < 1 / 6, 32, r.integers(97, 123, 2048))) for _ in range(n)]
+    return [x for t in out for x in [t, *beginnings(t)] if has_letter(x)]
+
+
+def _dense(rows: list) -> np.ndarray:
+    c = np.zeros((len(rows), DIMS), np.int32)
+    for i, r in enumerate(rows):
+        c[i, r.dims] = r.n
+    return c
+
+
+def _bounds(held: list, model: dict) -> np.ndarray:
+    """Each label's bound by size class: what all but REJECT of its own rows reach.
+
+    Where all but REJECT of the other labels' rows and of noise are lower, the bound is in the
+    middle between both. A class without own rows has the bound of the next lower one with some.
+    """
+    cosines, classes, owner = [], [], []
+
+    def add(c: np.ndarray, who) -> None:
+        cos = weighted(c, model["idf"]) @ model["centres"].T
+        cosines.append(np.stack([cos[:, model["of"] == k].max(axis=1) for k in range(len(model["labels"]))], axis=1))
+        classes.append(sizes(c))
+        owner.extend(who)
+
+    for i in range(0, len(held), 256):
+        add(_dense(held[i : i + 256]), [model["labels"].index(r.label) for r in held[i : i + 256]])
+    for _, c in counts(pa.array(noise(), pa.string())):
+        add(c, [-1] * len(c))
+    cosines, classes, owner = np.concatenate(cosines), np.concatenate(classes), np.array(owner)
+    least = np.full((len(model["labels"]), 16), np.nan)
+    for k in range(len(least)):
+        for b in range(least.shape[1]):
+            own, other = (cosines[(classes == b) & z, k] for z in (owner == k, owner != k))
+            if len(own):
+                low = float(np.quantile(own, REJECT))
+                high = float(np.quantile(other, 1 - REJECT)) if len(other) else low
+                least[k, b] = (low + min(low, high)) / 2
+        known = np.flatnonzero(~np.isnan(least[k]))
+        least[k] = least[k, known[np.maximum(0, np.searchsorted(known, np.arange(least.shape[1]), side="right") - 1)]]
+    return least
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -146,16 +209,17 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Data
         for b in batches:
             texts = b.column("text")
             known = np.array([has_letter(t) for t in texts.to_pylist()], bool) & bool(len(m["labels"]))
-            best, score = np.zeros(len(known), int), np.zeros(len(known))
+            best, score, size = np.zeros(len(known), int), np.zeros(len(known)), np.zeros(len(known), int)
             if len(m["labels"]):
                 for at, c in counts(texts):
                     cos = weighted(c, m["idf"]) @ m["centres"].T
                     best[at : at + len(c)] = cos.argmax(axis=1)
                     score[at : at + len(c)] = cos.max(axis=1)
+                    size[at : at + len(c)] = sizes(c)
             lang = m["of"][best] if len(m["of"]) else best
             names = np.array([*m["labels"], "und"], object)
             score = np.where(known, np.clip(score, 0, 1), 0.0)
-            least = np.append(m["least"], 1.0)[np.where(known, lang, len(m["labels"]))]
+            least = m["least"][lang, size] if len(m["of"]) else np.ones(len(known))
             extra = {"lang_pred": pa.array(names[np.where(known, lang, len(m["labels"]))], pa.string()), "score": pa.array(score), "rejected": pa.array(~known | (score < least))}
             yield pa.RecordBatch.from_pydict({k: b.column(k) for k in keep} | extra)
 

@@ -248,6 +248,17 @@ def test_language_edge_cases(spark):
     assert langid.identify(df.limit(0)).collect() == []
 
 
+def test_other_languages_and_noise_are_rejected(spark):
+    r = random.Random(8)
+    letters = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(60))
+    other = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto", "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem", "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом", "alle mensen worden vrij en gelijk in waardigheid en rechten geboren zij zijn begiftigd met verstand en geweten", "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza", letters]
+    model = langid.fit(spark.createDataFrame(language_docs(), DOCS))
+    own = [(100 + i, t[:n]) for i, (_, t, *_) in enumerate(language_docs(150)) for n in [(30, 60, 5000)[i % 3]]]
+    got = {x.doc_id: x.rejected for x in langid.predict(frame(spark, [*enumerate(other), *own]), model).collect()}
+    assert [got[i] for i in range(len(other))] == [True] * len(other)
+    assert sum(got[d] for d, _ in own) <= 0.03 * len(own)
+
+
 # --- op 8 -------------------------------------------------------------------------------------
 def edits(a, b):
     prev = list(range(len(b) + 1))
