@@ -3,7 +3,8 @@
 Texts and items become words; numbers, units after numbers, and names become typed placeholders
 (slots). Windows of consecutive canonical words are joined by hash, so a question with other
 numbers or names still meets its item. Where windows of one alignment match, the slots must be
-consistent: each value of the item stands for one value in the text, and the other way round.
+consistent: each value of the item stands for one value in the text, or the other way round (values
+may meet by chance on one side). Windows with the item's own values, or without slots, always count.
 """
 
 from __future__ import annotations
@@ -166,14 +167,15 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataF
         found = hits if found is None else found.union(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, rk long, item_id long, n_windows long, item_windows int, exact boolean")
-    # slots of one alignment: as many pairs as values on either side
+    # slots of one alignment: as many pairs as values on one side, or else its literal windows alone
     line = ["doc_id", "rk", "item_id", "of", (F.col("p") - F.col("q")).alias("diagonal")]
     pair = F.transform(F.arrays_zip("islots", "dslots"), lambda x: F.struct(x["islots"].alias("i"), x["dslots"].alias("d")))
-    lined = found.select(*line, "q", pair.alias("pairs")).groupBy("doc_id", "rk", "item_id", "of", "diagonal")
-    lined = lined.agg(F.collect_set("q").alias("qs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one = lambda x: F.size(F.array_distinct(F.transform("pairs", lambda y: y[x])))
-    lined = lined.filter((F.size("pairs") == one("i")) & (F.size("pairs") == one("d")))
     same = F.forall("pairs", lambda x: x["i"] == x["d"])
+    lined = found.select(*line, "q", pair.alias("pairs")).withColumn("literal", F.when(same, F.col("q"))).groupBy("doc_id", "rk", "item_id", "of", "diagonal")
+    lined = lined.agg(F.collect_set("q").alias("qs"), F.collect_set("literal").alias("literal"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    one = lambda x: F.size(F.array_distinct(F.transform("pairs", lambda y: y[x])))
+    fits = (F.size("pairs") == one("i")) | (F.size("pairs") == one("d"))
+    lined = lined.withColumn("qs", F.when(fits, F.col("qs")).otherwise(F.col("literal"))).filter(F.size("qs") > 0)
     out = lined.groupBy("doc_id", "rk", "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("n_windows"), F.min(same).alias("exact"))
     out = out.groupBy("doc_id", "rk", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("of").alias("item_windows"), F.max("exact").alias("exact"))
     return out.filter(f"n_windows >= {ENOUGH} OR 2 * n_windows >= item_windows")

@@ -180,6 +180,14 @@ def test_slots_must_be_consistent(spark):
     assert decontam.contaminated(docs.limit(0), items).collect() == []
 
 
+def test_one_altered_value_does_not_hide_a_passage(spark):
+    passage = " ".join(f"verse{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
+    items = spark.createDataFrame([(1, f"paid 7 of 7 and 9 coins then {passage} the end"), (2, "Tom had 5 apples and after 5 days he gave the rest away"), (3, "Ann took 3 pears and after 5 weeks she gave the rest back")], "item_id long, text string")
+    docs = frame(spark, [(1, f"paid 7 of 8 and 7 coins then {passage} the end"), (2, "Tom had 7 apples and after 9 days he gave the rest away"), (3, "Ann took 4 pears and after 4 weeks she gave the rest back")])
+    got = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 1): False, (2, 2): False, (3, 3): False}
+
+
 def test_whole_items_are_found(spark):
     rows = prose(9, 40)
     items = spark.createDataFrame([(i, t.replace("\n", " ")[:150]) for i, t in rows[:10]], "item_id long, text string")
