@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import ranges, seqs
-from sparkloom.operators import alignments, blocks, graphs, intervals, kmers, sequences
+from sparkloom.operators import alignments, blocks, chains, graphs, intervals, kmers, sequences
 
 
 def rows(df):
@@ -113,3 +113,23 @@ def test_components_and_cover(spark):
     assert rows(graphs.components(links)) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
     m = spark.createDataFrame([("A", 0, 1), ("A", 0, 2), ("B", 1, 2), ("B", 1, 3), ("C", 2, 1)], "set string, seq long, item long")
     assert [tuple(r) for r in graphs.greedy_cover(m).collect()] == [(1, "B", 2), (2, "C", 1)]
+
+
+@pytest.mark.parametrize("model", ["loose", "medium"])
+def test_chains_cross_wide_gaps(spark, model):
+    import random
+
+    import numpy as np
+
+    r, data, t, q = random.Random(9), [], 0, 0
+    for _ in range(120):
+        t, q = t + r.choice((50, 3000, 40_000, 110_000, 400_000)), q + r.choice((50, 3000, 40_000, 110_000))
+        n = r.randint(20, 900)
+        data.append((t, q, n, n * r.choice((3, 40, 100))))
+        t, q = t + n, q + n
+    a = np.array(data, np.int64)
+    number = chains._chain_group(a[:, 1], a[:, 0], a[:, 2], a[:, 3], model)
+    want = sorted((int(x[:, 0].min()), int((x[:, 0] + x[:, 2]).max()), len(x)) for k in set(number.tolist()) for x in [a[number == k]])
+    df = spark.createDataFrame([("t", "q", "+", *x) for x in data], "t_name string, q_name string, strand string, t long, q long, n long, score long")
+    got = rows(chains.chain_blocks(df, model).select("t_start", "t_end", "blocks"))
+    assert got == want
