@@ -230,6 +230,14 @@ def test_network_learns_and_base_spans_stay(spark):
     assert secrets.find_secrets(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_few_secrets_among_many_texts(spark, n):
+    rows = [(i, t) for i, t in secret_docs()[1 : 2 * n : 2]]
+    plain = spark.range(1000, 61000).select(F.col("id").alias("doc_id"), F.expr("concat('plain text with alongwordof', repeat(chr(97 + id % 26), 3), ' only')").alias("text"))
+    assert secrets.fit(plain.union(frame(spark, rows).select("doc_id", "text"))) is not None
+    assert secrets.fit(plain) is None
+
+
 # --- op 7 -------------------------------------------------------------------------------------
 LANGS = {"en": "the of and to in that with for was the on are as his they at be this from have or by", "fr": "le la les des une est dans que pour qui sur avec plus par au ne pas ce sont aux", "de": "der die das und nicht mit sich auf für ist dem ein eine als auch es werden aus nach bei"}
 
