@@ -18,8 +18,8 @@ from .bits import BITS
 from .common import Scratch, arrow_map, small_batches
 from .words import LOWER, joined, pieces, text_bytes, word_hashes, word_spans
 
-#: Words of a window, literal words that it needs, and the least words of an item that is looked for.
-WINDOW, LITERAL, SHORTEST = 8, 4, 4
+#: Words of a window, and literal words that it needs; windows with fewer match as they are.
+WINDOW, LITERAL = 8, 4
 #: A text holds an item if at least half of its windows match, or this many (13 words in a row).
 ENOUGH = 6
 # Units of measurement and currencies, and number words.
@@ -70,10 +70,11 @@ def canonical(column: pa.Array):
 
 
 def windows(column: pa.Array, size: int):
-    """(row, word, hash, place) arrays of the windows of ``size`` words with enough literals, and a function for their slots.
+    """(row, word, hash, place) arrays of the windows of ``size`` words, and a function for their slots.
 
     A window with names comes once with them as slots and once as they are: a capital may stand
-    for the start of a sentence in one text and not in the other. None if there is no window.
+    for the start of a sentence in one text and not in the other. One with few literals comes
+    without slots; that depends on its own words alone. None if there is no window.
     """
     kinds, value, first = canonical(column)
     at = np.arange(max(0, len(value) - size + 1))
@@ -81,25 +82,29 @@ def windows(column: pa.Array, size: int):
         return None
     row = np.searchsorted(first, at, side="right") - 1
     inside = at + size <= first[row + 1]
-    out, forms = [], [kinds, np.where(kinds == 3, 0, kinds)]
+    out, forms = [], [kinds, np.where(kinds == 3, 0, kinds), np.zeros_like(kinds)]
     names = np.concatenate([[0], np.cumsum(kinds == 3)])
     for form, k in enumerate(forms):
-        literal = np.concatenate([[0], np.cumsum(k == 0)])
-        ok = inside & (literal[at + size] - literal[at] >= min(LITERAL, size))
-        if form:
+        literal = np.concatenate([[0], np.cumsum(k == 0 if form < 2 else (kinds != 1) & ~np.isin(value, _lexicon(UNITS)))])
+        enough = literal[at + size] - literal[at] >= min(LITERAL, size)
+        ok = inside & (enough if form < 2 else ~enough)
+        if form == 1:
             ok &= names[at + size] > names[at]
         h = joined(np.where(k > 0, _SLOTS[k], value), size)
-        out.append((row[ok], at[ok] - first[row[ok]], h[ok], at[ok] * 2 + form))
+        out.append((row[ok], at[ok] - first[row[ok]], h[ok], at[ok] * 3 + form))
 
     def slots(place: int) -> list[int]:
-        i, k = place // 2, forms[place % 2]
+        i, k = place // 3, forms[place % 3]
         return value[i : i + size][k[i : i + size] > 0].view(np.int64).tolist()
 
     return *(np.concatenate(x) for x in zip(*out)), slots
 
 
 def item_windows(items: DataFrame, size: int, whole: bool) -> DataFrame:
-    """h, item_id, q, slots, of (windows of the item). ``whole``: items of exactly ``size`` words alone."""
+    """h, item_id, q, slots, of (windows of the item), most (those that match with other values too).
+
+    ``whole``: items of exactly ``size`` words alone.
+    """
 
     def run(batches):
         for b in batches:
@@ -111,9 +116,11 @@ def item_windows(items: DataFrame, size: int, whole: bool) -> DataFrame:
             words = np.diff(first)[row]
             keep = np.flatnonzero((words == size) if whole else (words >= size))
             of = words[keep] - size + 1
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep].view(np.int64)), "item_id": b.column("item_id").cast(pa.int64()).take(pa.array(row[keep])), "q": pa.array(q[keep].astype(np.int32)), "islots": pa.array([slots(i) for i in at[keep].tolist()], pa.list_(pa.int64())), "of": pa.array(of.astype(np.int32))})
+            free = np.unique(((row.astype(np.int64) << 32) | q)[at % 3 < 2]) >> 32
+            most = np.bincount(free, minlength=len(first))[row[keep]]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep].view(np.int64)), "item_id": b.column("item_id").cast(pa.int64()).take(pa.array(row[keep])), "q": pa.array(q[keep].astype(np.int32)), "islots": pa.array([slots(i) for i in at[keep].tolist()], pa.list_(pa.int64())), "of": pa.array(of.astype(np.int32)), "most": pa.array(most.astype(np.int32)), "free": pa.array(at[keep] % 3 < 2)})
 
-    return arrow_map(items.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text"), run, "h long, item_id long, q int, islots array<long>, of int")
+    return arrow_map(items.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text"), run, "h long, item_id long, q int, islots array<long>, of int, most int, free boolean")
 
 
 def text_windows(docs: DataFrame, size: int, table: np.ndarray) -> DataFrame:
@@ -152,14 +159,15 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataF
     """doc_id, rk (hash of the text), item_id, n_windows, item_windows, exact of each text that holds an item.
 
     n_windows counts the item's windows that match consistently; exact tells that all slots have
-    the item's own values. Null texts and ids of items match nothing; items of fewer than
-    SHORTEST words are not looked for, shorter ones than a window only as a whole. Repeated items
-    are one; rows that repeat a text are each found. Empty tables give an empty result.
+    the item's own values. Half of the windows is enough, and so is half of those that match with
+    other values too, if any do. Null texts and ids of items match nothing; items that are shorter
+    than a window are looked for as a whole. Repeated items are one; rows that repeat a text are
+    each found. Empty tables give an empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     found = None
-    for n in range(SHORTEST, size + 1):
+    for n in range(1, size + 1):
         part = scratch.keep(item_windows(items, n, n < size).distinct(), "items")
         if part.isEmpty():
             continue
@@ -168,14 +176,16 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataF
     if found is None:
         return spark.createDataFrame([], "doc_id long, rk long, item_id long, n_windows long, item_windows int, exact boolean")
     # slots of one alignment: as many pairs as values on one side, or else its literal windows alone
-    line = ["doc_id", "rk", "item_id", "of", (F.col("p") - F.col("q")).alias("diagonal")]
+    line = ["doc_id", "rk", "item_id", "of", "most", (F.col("p") - F.col("q")).alias("diagonal")]
     pair = F.transform(F.arrays_zip("islots", "dslots"), lambda x: F.struct(x["islots"].alias("i"), x["dslots"].alias("d")))
     same = F.forall("pairs", lambda x: x["i"] == x["d"])
-    lined = found.select(*line, "q", pair.alias("pairs")).withColumn("literal", F.when(same, F.col("q"))).groupBy("doc_id", "rk", "item_id", "of", "diagonal")
-    lined = lined.agg(F.collect_set("q").alias("qs"), F.collect_set("literal").alias("literal"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    lined = found.select(*line, "q", "free", pair.alias("pairs")).withColumn("literal", F.when(same, F.col("q"))).groupBy("doc_id", "rk", "item_id", "of", "most", "diagonal")
+    lined = lined.agg(F.collect_set("q").alias("qs"), F.collect_set(F.when(F.col("free"), F.col("q"))).alias("free"), F.collect_set("literal").alias("literal"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one = lambda x: F.size(F.array_distinct(F.transform("pairs", lambda y: y[x])))
     fits = (F.size("pairs") == one("i")) | (F.size("pairs") == one("d"))
     lined = lined.withColumn("qs", F.when(fits, F.col("qs")).otherwise(F.col("literal"))).filter(F.size("qs") > 0)
-    out = lined.groupBy("doc_id", "rk", "item_id", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("n_windows"), F.min(same).alias("exact"))
-    out = out.groupBy("doc_id", "rk", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("of").alias("item_windows"), F.max("exact").alias("exact"))
-    return out.filter(f"n_windows >= {ENOUGH} OR 2 * n_windows >= item_windows")
+    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    out = lined.groupBy("doc_id", "rk", "item_id", "of", "most").agg(count("qs").alias("n_windows"), count(F.array_intersect("qs", "free")).alias("n_free"), F.min(same).alias("exact"))
+    half = F.max(F.expr("most > 0 AND 2 * n_free >= most")).alias("half")
+    out = out.groupBy("doc_id", "rk", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("of").alias("item_windows"), F.max("exact").alias("exact"), half)
+    return out.filter(f"n_windows >= {ENOUGH} OR 2 * n_windows >= item_windows OR half").drop("half")

@@ -188,6 +188,14 @@ def test_one_altered_value_does_not_hide_a_passage(spark):
     assert got == {(1, 1): False, (2, 2): False, (3, 3): False}
 
 
+def test_items_with_few_literals(spark):
+    texts = ["What is 17 times 23?", "Calculate 3 + 4 + 5 + 6 + 7 + 8 + 9", "1 2 3 4 5 6 7 8 9 10 11 12", "17 apples", "sum 1 2 3 4 5 6 7 of all these given numbers"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(i, f"so it goes. {t} and then more follows here") for i, t in enumerate(texts)] + [(5, "What is 18 times 23?"), (6, "well sum 4 4 2 9 5 1 8 of all these given numbers"), (7, "16 apples and 17 pears")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, docs), items).collect()}
+    assert got == {*((i, i) for i in range(5)), (6, 4)}
+
+
 def test_whole_items_are_found(spark):
     rows = prose(9, 40)
     items = spark.createDataFrame([(i, t.replace("\n", " ")[:150]) for i, t in rows[:10]], "item_id long, text string")
