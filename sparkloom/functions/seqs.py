@@ -23,7 +23,13 @@ def revcomp(seq: Column) -> Column:
 
 
 def count_of(seq: Column, letters: str) -> Column:
-    return (F.length(seq) - F.length(F.translate(seq, letters, ""))).cast("long")
+    """How many of the letters (ASCII letters, as they stand) are in a sequence."""
+    if len(letters) > 2:
+        return F.regexp_count(seq, F.lit(f"[{letters}]")).cast("long")
+    rest = seq
+    for x in letters:
+        rest = F.replace(rest, F.lit(x), F.lit(""))
+    return (F.length(seq) - F.length(rest)).cast("long")
 
 
 def kmers(seq: Column, k: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from ..functions import seqs
 TOP = 32767
 #: Starts of k-mers in a tile.
 TILE = 256
+#: Bases that fit in a key of 64 bits, two bits each; bases and keys that one count is made of.
+PACKED, SMALL, KEYS = 31, 11, 1 << 20
+_CODE = np.full(256, 4, np.uint8)
+_CODE[[65, 67, 71, 84]] = range(4)
+_BASE = np.frombuffer(b"ACGT", np.uint8)
 
 
 def _places(df: DataFrame, k: int, text: str = "seq") -> DataFrame:
@@ -29,8 +36,96 @@ def occurrences(df: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     return rows.withColumn("kmer", seqs.canonical(F.col("kmer"))) if canonical else rows
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column; nulls are empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pack(raw: np.ndarray, offsets: np.ndarray, k: int, canonical: bool = True) -> np.ndarray:
+    """Keys of all k-mers of ACGT: two bits a base, so numbers stand in the order of the strings.
+
+    Runs of a power of two bases are joined to runs of k, forward and as reverse complement.
+    """
+    n = len(raw) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    code = _CODE[raw]
+    bad = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(code > 3, out=bad[1:])
+    fine = bad[k:] == bad[:-k]
+    for end in offsets[1:-1]:  # a window that starts before a text's end and goes beyond it
+        fine[max(0, end - k + 1) : end] = False
+    one = (code & 3).astype(np.int64)
+    runs, size = (one, 3 - one), 1
+    ahead, done = None, 0
+    while True:
+        if k & size:
+            if ahead is None:
+                ahead, done = runs, size
+            else:
+                m = len(raw) - done - size + 1
+                ahead = (ahead[0][:m] << 2 * size | runs[0][done : done + m], runs[1][done : done + m] << 2 * done | ahead[1][:m])
+                done += size
+        if 2 * size > k:
+            break
+        m = len(raw) - 2 * size + 1
+        runs = (runs[0][:m] << 2 * size | runs[0][size : size + m], runs[1][size : size + m] << 2 * size | runs[1][:m])
+        size *= 2
+    return (np.minimum(*ahead) if canonical else ahead[0])[fine]
+
+
+def packed(df: DataFrame, k: int, canonical: bool = True) -> DataFrame:
+    """key, n of the k-mers (k up to 31); tasks count what they have before the shuffle, in bounded memory."""
+
+    def run(batches):
+        total, held, size = np.zeros(4**k if k <= SMALL else 0, np.int64), [], 0
+
+        def counted():
+            keys, many = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"key": pa.array(keys), "n": pa.array(many.astype(np.int64))})
+
+        for b in batches:
+            keys = pack(*_bytes(b.column("seq")), k, canonical)
+            if k <= SMALL:
+                total += np.bincount(keys, minlength=len(total))
+                continue
+            held.append(keys)
+            size += len(keys)
+            if size >= 4 * KEYS:
+                yield counted()
+                held, size = [], 0
+        if k <= SMALL:
+            keys = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.astype(np.int64)), "n": pa.array(total[keys])})
+        elif held:
+            yield counted()
+
+    return df.select("seq").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def unpacked(keys: DataFrame, k: int) -> DataFrame:
+    """The column ``key`` as strings, kmer."""
+    rest = [f for f in keys.schema.fields if f.name != "key"]
+
+    def run(batches):
+        for b in batches:
+            key = b.column("key").to_numpy()
+            text = _BASE[np.stack([(key >> 2 * i) & 3 for i in range(k - 1, -1, -1)], axis=1)] if len(key) else np.zeros((0, k), np.uint8)
+            ends = np.arange(len(key) + 1, dtype=np.int32) * k
+            kmer = pa.StringArray.from_buffers(len(key), pa.py_buffer(ends.tobytes()), pa.py_buffer(text.tobytes()))
+            yield pa.RecordBatch.from_pydict({"kmer": kmer} | {f.name: b.column(f.name) for f in rest})
+
+    return keys.mapInArrow(run, ", ".join(["kmer string", *[f"{f.name} {f.dataType.simpleString()}" for f in rest]]))
+
+
 def table(df: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     """kmer, n; partial counts before the shuffle."""
+    if k <= PACKED:
+        return unpacked(packed(df, k, canonical), k)
     return occurrences(df, k, canonical).groupBy("kmer").agg(F.count("*").alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from .intervals import islands
 
 def base_counts(df: DataFrame) -> DataFrame:
     """name, len, A, C, G, T, N of each record and a row total; ambiguous codes count as N, other letters not at all."""
-    up = df.withColumn("_u", seqs.upper(F.col("seq")))
-    by = up.select("name", *[seqs.count_of(F.col("_u"), b).alias(b) for b in "ACGT"], seqs.count_of(F.col("_u"), seqs.AMBIGUOUS).alias("N"))
+    both = lambda letters: seqs.count_of(F.col("seq"), letters + letters.lower())
+    by = df.select("name", *[both(b).alias(b) for b in "ACGT"], both(seqs.AMBIGUOUS).alias("N"))
     by = by.withColumn("len", F.expr("A + C + G + T + N"))
     cols = ["len", "A", "C", "G", "T", "N"]
     total = by.agg(*[F.sum(c).cast("long").alias(c) for c in cols]).select(F.lit("total").alias("name"), *cols)
@@ -71,10 +73,16 @@ def cleaned(df: DataFrame, dash: bool = True, iupac: bool = True, upper: bool =
 
 
 def windows(df: DataFrame, size: int, step: int) -> DataFrame:
-    """name, s, e, seq of windows from 0 on; the last are cut at the end, windows of only N go."""
-    cut = df.filter(F.length("seq") > 0).select("name", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(step))).alias("at"))
-    out = cut.select("name", (F.col("at") + 1).cast("long").alias("s"), F.least(F.col("at") + size, F.length("seq")).cast("long").alias("e"), F.substring("seq", F.col("at") + 1, F.lit(size)).alias("seq"))
-    return out.filter(F.length(F.translate("seq", "Nn", "")) > 0)
+    """name, s, e, seq of windows from 0 on; the last are cut at the end, windows of only N go.
+
+    A sequence is cut once in pieces of the greatest common divisor; windows are joined from pieces.
+    """
+    piece = gcd(size, step)
+    cut = df.filter(F.length("seq") > 0).select("name", F.length("seq").alias("n"), F.regexp_extract_all("seq", F.lit(f"((?s).{{1,{piece}}})"), F.lit(1)).alias("pieces"))
+    joined = lambda at: F.struct(at.alias("at"), F.array_join(F.slice("pieces", F.floor(at / piece).cast("int") + 1, F.lit(size // piece)), "").alias("seq"))
+    rows = cut.select("name", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step)), joined)).alias("w"))
+    out = rows.select("name", (F.col("w.at") + 1).cast("long").alias("s"), F.least(F.col("w.at") + size, F.col("n")).cast("long").alias("e"), F.col("w.seq").alias("seq"))
+    return out.filter(F.length(F.replace(F.replace("seq", F.lit("N"), F.lit("")), F.lit("n"), F.lit(""))) > 0)
 
 
 def masked(df: DataFrame, gaps_only: bool = False) -> DataFrame:

@@ -424,7 +424,7 @@ def kmer_table(spark, d):
 
 @query(f"WITH {SEQ}, {_kmer_sql(8)}, t AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer) SELECT CAST(least(n, 32767) AS BIGINT) AS depth, count(*) AS kmers FROM t GROUP BY 1")
 def kmer_hist(spark, d):
-    return kmers.histogram(kmers.table(fx.sequences(spark, d), 8))
+    return kmers.histogram(kmers.packed(fx.sequences(spark, d), 8))
 
 
 @query(f"WITH {SEQ}, {_kmer_sql(8)}, t AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer) SELECT CAST(length(kmer) - length(translate(kmer, 'GC', '')) AS BIGINT) AS gc, CAST(least(n, 100) AS BIGINT) AS depth, count(*) AS kmers FROM t GROUP BY ALL")
@@ -441,7 +441,7 @@ def kmer_profile(spark, d):
 @query(f"WITH {SEQ}, {_kmer_sql(8)}, t AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer), h AS (SELECT n, count(*) AS k FROM t GROUP BY n), p AS (SELECT n FROM h WHERE n > 1 ORDER BY k * n DESC, n LIMIT 1) SELECT CAST((SELECT n FROM p) AS BIGINT) AS peak, CAST(sum(n * k) AS BIGINT) AS kmers, CAST(sum(n * k) // (SELECT n FROM p) AS BIGINT) AS size FROM h")
 def kmer_gsize(spark, d):
     """Total k-mers over the count that holds most of them."""
-    h = kmers.table(fx.sequences(spark, d), 8).groupBy("n").agg(F.count("*").alias("k"))
+    h = kmers.packed(fx.sequences(spark, d), 8).groupBy("n").agg(F.count("*").alias("k"))
     peak = h.filter("n > 1").orderBy(F.expr("k * n").desc(), "n").limit(1).select(F.col("n").alias("peak"))
     return h.agg(F.sum(F.expr("n * k")).alias("kmers")).crossJoin(peak).select("peak", F.col("kmers").cast("long").alias("kmers"), F.floor(F.col("kmers") / F.col("peak")).cast("long").alias("size"))
 
