@@ -164,13 +164,56 @@ def paf_coverage(df: DataFrame, minimum: int = 1) -> DataFrame:
     return seg.select("t_name", "s", (F.col("e") + 1).alias("e"), "depth")
 
 
+def cigar_ops(cigar: Column) -> Column:
+    """Array of (n, op) of a CIGAR; empty where it is missing or malformed."""
+    parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDX=])"), F.lit(1))
+    ops = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"\d+", 0).cast("long").alias("n"), F.right(x, F.lit(1)).alias("op")))
+    return F.when(cigar.rlike(r"^(\d+[MIDX=])+$"), ops).otherwise(F.array().cast("array<struct<n:bigint,op:string>>"))
+
+
+def projected(ops: Column, t_start: Column, s: Column, e: Column) -> Column:
+    """What a target stretch [s, e) covers of an alignment: lo and hi from the start of its query part, t_from and t_to.
+
+    One fold over the operations: matched columns within the stretch and insertions at a place in it
+    count for the query, matched and deleted columns for the target. lo is above hi if nothing does.
+    """
+    none = F.lit(1 << 60).cast("long")
+
+    def step(a: Column, x: Column) -> Column:
+        td, qd = F.when(x["op"] == "I", 0).otherwise(x["n"]), F.when(x["op"] == "D", 0).otherwise(x["n"])
+        lo, hi = F.greatest(s, a["ct"]), F.least(e, a["ct"] + td)
+        over, inserted = lo < hi, (x["op"] == "I") & (a["ct"] >= s) & (a["ct"] < e)
+        both = over & x["op"].isin("M", "=", "X")
+        q_lo = F.when(inserted, a["cq"]).when(both, a["cq"] + lo - a["ct"])
+        q_hi = F.when(inserted, a["cq"] + qd).when(both, a["cq"] + hi - a["ct"])
+        return F.struct(
+            (a["ct"] + td).alias("ct"), (a["cq"] + qd).alias("cq"), F.least(a["lo"], q_lo).alias("lo"), F.greatest(a["hi"], q_hi).alias("hi"),
+            F.least(a["t_from"], F.when(over, lo)).alias("t_from"), F.greatest(a["t_to"], F.when(over, hi)).alias("t_to"),
+        )
+
+    first = F.struct(t_start.cast("long").alias("ct"), F.lit(0).cast("long").alias("cq"), none.alias("lo"), (-none).alias("hi"), none.alias("t_from"), (-none).alias("t_to"))
+    return F.aggregate(ops, first, step)
+
+
 def paf_query(df: DataFrame, regions: DataFrame, min_identity: float = 0.0, min_len: int = 0) -> DataFrame:
-    """Records without indels over regions (t_name, s, e; 0-based half-open), projected to the query along the diagonal."""
+    """Records over regions (t_name, s, e; 0-based half-open), projected to the query through the CIGAR.
+
+    The strand - reads the query from its end. A record without a CIGAR, or with a malformed one, has
+    identity 0 and is projected along the diagonal. Identity is gap-compressed.
+    """
     a = regions.select("t_name", F.col("s"), (F.col("e") - 1).alias("e"))
-    b = df.select("t_name", F.col("t_start").alias("s2"), (F.col("t_end") - 1).alias("e2"), "q_name", "q_start", "q_end", "strand", "matches", "block_len")
-    both = range_join(a, b, "t_name")
-    lo, hi = F.greatest("s", "s2"), F.least("e", "e2") + 1
-    off, size = lo - F.col("s2"), hi - lo
-    qs = F.when(F.col("strand") == "-", F.col("q_end") - off - size).otherwise(F.col("q_start") + off)
-    out = both.select("t_name", lo.alias("t_from"), hi.alias("t_to"), "q_name", "strand", F.greatest(qs, F.col("q_start")).alias("q_from"), F.least(qs + size, F.col("q_end")).alias("q_to"), (F.col("matches") / F.col("block_len")).alias("_i"))
-    return out.filter((F.col("_i") >= min_identity) & (F.col("q_to") - F.col("q_from") >= max(1, min_len))).drop("_i")
+    b = df.select("t_name", F.col("t_start").alias("s2"), (F.col("t_end") - 1).alias("e2"), "q_name", "q_start", "q_end", "strand", "cg")
+    if min_identity > 0:
+        m, x, gaps = cigar_sum(F.col("cg"), "M="), cigar_sum(F.col("cg"), "X"), cigar_count(F.col("cg"), "ID")
+        b = b.filter(F.col("cg").rlike(r"^(\d+[MIDX=])+$") & (m / (m + x + gaps) >= min_identity))
+    both = range_join(a, b.withColumn("ops", cigar_ops(F.col("cg"))).drop("cg"), "t_name")
+    e = F.col("e") + 1
+    lo, hi = F.greatest("s", "s2"), F.least(e, F.col("e2") + 1)
+    line = F.struct(F.col("e2").alias("ct"), F.col("e2").alias("cq"), (lo - F.col("s2")).alias("lo"), (hi - F.col("s2")).alias("hi"), lo.alias("t_from"), hi.alias("t_to"))
+    out = both.withColumn("_p", F.when(F.size("ops") == 0, line).otherwise(projected(F.col("ops"), F.col("s2"), F.col("s"), e)))
+    back = F.col("strand") == "-"
+    q_from = F.when(back, F.col("q_end") - F.col("_p.hi")).otherwise(F.col("q_start") + F.col("_p.lo"))
+    q_to = F.when(back, F.col("q_end") - F.col("_p.lo")).otherwise(F.col("q_start") + F.col("_p.hi"))
+    out = out.filter("_p.lo < _p.hi AND _p.t_from < _p.t_to")
+    out = out.select("t_name", F.col("_p.t_from").alias("t_from"), F.col("_p.t_to").alias("t_to"), "q_name", "strand", q_from.alias("q_from"), q_to.alias("q_to"))
+    return out.filter(F.col("q_to") - F.col("q_from") >= max(1, min_len))

@@ -582,9 +582,11 @@ def paf_identity(spark, d):
 
 
 _PQ = f"""WITH {PAF}, rg AS (SELECT 't' || p_partkey AS t_name, CAST(p_size * 20 AS BIGINT) AS s, CAST(p_size * 20 + 300 AS BIGINT) AS e FROM part WHERE p_partkey % 3 = 0),
-j AS (SELECT paf.*, greatest(s, t_start) AS lo, least(e, t_end) AS hi FROM paf JOIN rg ON paf.t_name = rg.t_name AND t_start < e AND s < t_end WHERE matches / block_len >= 0.8),
-k AS (SELECT t_name, lo AS t_from, hi AS t_to, q_name, strand, q_start, q_end, CASE WHEN strand = '-' THEN q_end - (lo - t_start) - (hi - lo) ELSE q_start + lo - t_start END AS qs, hi - lo AS size FROM j),
-z AS (SELECT t_name, t_from, t_to, q_name, strand, greatest(qs, q_start) AS q_from, least(qs + size, q_end) AS q_to FROM k)"""
+j AS (SELECT paf.*, s, e, t_start + b1 AS ti, t_start + b1 + 5 AS td, t_start + b1 + 5 + eq_len + mismatch AS tx FROM paf JOIN rg ON paf.t_name = rg.t_name AND t_start < e AND s < t_end WHERE cg <> '' AND cg NOT LIKE '%Q' AND (b1 + eq_len) / (b1 + eq_len + mismatch + 2) >= 0.8),
+k AS (SELECT *, greatest(s, t_start) < least(e, ti) AS m, ti >= s AND ti < e AS i, greatest(s, ti) < least(e, td) AS dl, greatest(s, td) < least(e, tx) AS x FROM j),
+l AS (SELECT *, list_min([CASE WHEN m THEN greatest(s, t_start) - t_start END, CASE WHEN i THEN b1 END, CASE WHEN x THEN b1 + gi_len + greatest(s, td) - td END]) AS lo, list_max([CASE WHEN m THEN least(e, ti) - t_start END, CASE WHEN i THEN b1 + gi_len END, CASE WHEN x THEN b1 + gi_len + least(e, tx) - td END]) AS hi,
+  list_min([CASE WHEN m THEN greatest(s, t_start) END, CASE WHEN dl THEN greatest(s, ti) END, CASE WHEN x THEN greatest(s, td) END]) AS t_from, list_max([CASE WHEN m THEN least(e, ti) END, CASE WHEN dl THEN least(e, td) END, CASE WHEN x THEN least(e, tx) END]) AS t_to FROM k),
+z AS (SELECT t_name, t_from, t_to, q_name, strand, CASE WHEN strand = '-' THEN q_end - hi ELSE q_start + lo END AS q_from, CASE WHEN strand = '-' THEN q_end - lo ELSE q_start + hi END AS q_to FROM l WHERE lo < hi AND t_from < t_to)"""
 
 
 def _paf_query(spark, d):
