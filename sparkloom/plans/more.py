@@ -265,3 +265,20 @@ def events_tumbling(spark, d):
 @query("WITH x AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), y AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM y GROUP BY user_id, g")
 def events_sessions(spark, d):
     return windows.sessions(fx.read(spark, d, "events"), "ts", "6 hours", "1 day", ["user_id"]).select("user_id", "start", "end", "n")
+
+
+# --- archives: parts of samples ---------------------------------------------------------------
+@query(f"WITH {SEQ} SELECT name AS sample, md5(seq) AS digest FROM seq WHERE length(seq) > 0 AND pos % 3 = 1")
+def pbit_some(spark, d):
+    """The samples of a list, restored; segments of others are not touched."""
+    own, refs, arch = _archive(spark, d)
+    wanted = fx.sequences(spark, d).filter("pos % 3 = 1").select(F.col("name").alias("sample"))
+    return pairs.restore(arch.join(wanted, "sample", "leftsemi"), refs, 50).select("sample", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {SEQ} SELECT name AS sample, substr(seq, 31, 90) AS seq FROM seq WHERE length(seq) >= 31")
+def pbit_range(spark, d):
+    """Bases 31 to 120 of every sample: only the segments that hold them are restored."""
+    own, refs, arch = _archive(spark, d)
+    held = pairs.restore(arch.filter("seg BETWEEN 0 AND 2"), refs, 50)
+    return held.filter("length(seq) >= 31").select("sample", F.substring("seq", 31, 90).alias("seq"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranges, seqs
 from ..operators import alignments, blocks, graphs, intervals, kmers, sequences, vectors
+from ..sources import twobit
 from . import fixtures as fx
 from .fixtures import BLOCKS, IV, PAF, PSL, RC, SEQ, SEQ_CASE, SIZES, SOLID, sql_depth, sql_islands
 
@@ -406,8 +407,50 @@ def fa_mask(spark, d):
     return sequences.mask(s, spans).select("name", "seq")
 
 
-for _alias, _of in (("twobit_size", fa_size), ("twobit_some", fa_some), ("twobit_masked", fa_masked), ("twobit_range", fa_range), ("pbit_some", fa_some_invert), ("pbit_range", fa_range)):
-    QUERIES[_alias], ORACLES[_alias] = _of, ORACLES[_of.__name__]
+# --- 2bit -------------------------------------------------------------------------------------
+_TWO = SEQ_CASE.replace("seq AS (", "seq1 AS (") + ", seq AS (SELECT pos, name, regexp_replace(regexp_replace(seq, '[^\\x00-\\x7F]', 'N', 'g'), '[^ACGTacgt]', 'N', 'g') AS seq FROM seq1)"
+
+
+def _two(spark, d):
+    s = fx.sequences(spark, d, keep_case=True)
+    return s.withColumn("seq", F.regexp_replace("seq", r"[^\x00-\x7F]", "N"))
+
+
+@query(f"WITH {_TWO} SELECT name, CAST(length(seq) AS BIGINT) AS len, CAST(4 * 4 + 8 * len(regexp_extract_all(seq, 'N+')) + 8 * len(regexp_extract_all(seq, '[acgt]+')) + (length(seq) + 3) // 4 AS BIGINT) AS bytes FROM seq")
+def fa_to_2bit(spark, d):
+    """Records of whole sequences: their lengths and sizes."""
+    recs = twobit.records(_two(spark, d))
+    return recs.select("name", F.conv(F.hex(F.concat(*[F.substring("record", i, 1) for i in (4, 3, 2, 1)])), 16, 10).cast("long").alias("len"), F.length("record").cast("long").alias("bytes"))
+
+
+@query(f"WITH {_TWO} SELECT name, md5(seq) AS digest FROM seq")
+def twobit_to_fa(spark, d):
+    return twobit.sequences(twobit.records(_two(spark, d))).select("name", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_TWO} SELECT name, CAST(length(seq) AS BIGINT) AS len, CAST(length(replace(seq, 'N', '')) AS BIGINT) AS solid FROM seq")
+def twobit_size(spark, d):
+    return twobit.sizes(twobit.records(_two(spark, d)))
+
+
+@query(f"WITH {_TWO} SELECT name, md5(seq) AS digest FROM seq WHERE pos % 7 <> 0")
+def twobit_some(spark, d):
+    names = fx.sequences(spark, d).filter("pos % 7 = 0").select("name")
+    recs = twobit.records(_two(spark, d)).join(names, "name", "leftanti")
+    return twobit.sequences(recs).select("name", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+@query(ORACLES["fa_masked"].replace(SEQ_CASE, _TWO))
+def twobit_masked(spark, d):
+    return twobit.masked(twobit.records(_two(spark, d)))
+
+
+@query(f"WITH {_TWO}, r AS (SELECT name, CASE WHEN pos % 2 = 0 THEN '+' ELSE '-' END AS strand, substr(seq, 5, 46) AS part FROM seq WHERE length(seq) >= 50) SELECT name, strand, CASE WHEN strand = '-' THEN reverse(translate(part, 'ACGTacgt', 'TGCAtgca')) ELSE part END AS seq FROM r")
+def twobit_range(spark, d):
+    """Bases 5 to 50 of every sequence that is long enough, odd ones from the other strand; nothing else is unpacked."""
+    s = fx.sequences(spark, d, keep_case=True).filter("length(seq) >= 50")
+    ranges = s.select("name", F.lit(5).cast("long").alias("s"), F.lit(50).cast("long").alias("e"), F.when(F.col("pos") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return twobit.extract(twobit.records(_two(spark, d)), ranges).select("name", "strand", "seq")
 
 
 # --- k-mers and distances ---------------------------------------------------------------------
