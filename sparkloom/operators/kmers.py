@@ -206,3 +206,65 @@ def repeats(df: DataFrame, k: int, least: int) -> DataFrame:
     rows = occurrences(df, k)
     common = rows.groupBy("kmer").count().filter(F.col("count") >= least).select("kmer")
     return rows.join(common, "kmer", "leftsemi").select("name", (F.col("off") + 1).cast("long").alias("s"), (F.col("off") + k).cast("long").alias("e"))
+
+
+def mash(sketches: DataFrame, k: int, size: int) -> DataFrame:
+    """Pairs n1 < n2 of names whose sketches (name, h; at most ``size`` hashes each) meet: shared, size, mash.
+
+    Jaccard is estimated on the ``size`` least hashes of both: those in both sketches, over all.
+    """
+    lists = sketches.groupBy("name").agg(F.collect_list("h").alias("hs"))
+    x, y = sketches.select("h", F.col("name").alias("n1")), sketches.select("h", F.col("name").alias("n2"))
+    pairs = x.join(y, "h").filter("n1 < n2").select("n1", "n2").distinct()
+    both = pairs.join(lists.toDF("n1", "a"), "n1").join(lists.toDF("n2", "b"), "n2")
+    both = both.withColumn("_u", F.slice(F.array_sort(F.array_union("a", "b")), 1, size))
+    both = both.select("n1", "n2", F.size(F.array_intersect("_u", F.array_intersect("a", "b"))).cast("long").alias("shared"), F.size("_u").cast("long").alias("size"))
+    j = F.col("shared") / F.col("size")
+    distance = F.greatest(F.least(F.lit(1.0), -F.log(2 * j / (1 + j)) / k), F.lit(0.0))
+    return both.withColumn("mash", F.when(F.col("shared") == 0, 1.0).otherwise(F.round(distance, 4)))
+
+
+def _window_hashes(raw: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k bytes, eight bytes at a time."""
+    n, h = len(raw) - k + 1, np.uint64(k)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    for at in range(0, k, 8):
+        size = min(8, k - at)
+        lane = np.zeros(n, np.uint64)
+        for j in range(size):
+            lane |= padded[at + j : at + j + n].astype(np.uint64) << np.uint64(8 * j)
+        h = (h ^ lane) * np.uint64(0x9E3779B97F4A7C55)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = h ^ (h >> np.uint64(29))
+    return h
+
+
+def jumping_places(hashes: np.ndarray, w: int) -> list[int]:
+    """Places of minimizers: the leftmost least hash of a window, then the window after it, and the last window's."""
+    if len(hashes) < w:
+        return []
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, w)
+    least = np.concatenate([windows[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(windows))) for i in range(0, len(windows), 65536)])
+    out, at, last = [], 0, len(hashes) - w
+    while at < last:
+        out.append(int(least[at]))
+        at = out[-1] + 1
+    if not out or out[-1] != least[last]:
+        out.append(int(least[last]))
+    return out
+
+
+def jumping(df: DataFrame, k: int, w: int) -> DataFrame:
+    """name, h: distinct hashes of a record's jumping minimizers in windows of ``w`` k-mers; shorter records have none."""
+
+    def run(batches):
+        for b in batches:
+            for name, seq in zip(b.column("name").to_pylist(), b.column("seq").to_pylist()):
+                raw = np.frombuffer((seq or "").encode(), np.uint8)
+                if len(raw) < k + w - 1:
+                    continue
+                h = _window_hashes(raw, k)
+                own = np.unique(h[jumping_places(h, w)]).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(own), pa.string()), "h": pa.array(own)})
+
+    return df.select("name", "seq").mapInArrow(run, "name string, h long").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chains, intervals, kmers, pairs
+from ..operators import blocks, chains, intervals, kmers, pairs
 from ..streaming import windows
 from . import fixtures as fx
 from .fixtures import BLOCKS, PAF, PSL, SEQ, SOLID, sql_depth, sql_islands
@@ -45,17 +45,37 @@ def net_syntenic_dup(spark, d):
     return intervals.depth_segments(q, ["chr"]).filter("depth >= 2").groupBy("chr").agg(F.sum(F.expr("e - s + 1")).alias("dup"))
 
 
-@query(f"WITH {FILLS} SELECT o_chrom AS chrom, count(*) AS fills, min(node) AS first, max(node) AS last FROM fills GROUP BY o_chrom")
+@query(f"WITH {FILLS} SELECT node, o_chrom || '.net' AS file FROM fills")
 def net_split(spark, d):
-    return _fills(spark, d).groupBy(F.col("o_chrom").alias("chrom")).agg(F.count("*").alias("fills"), F.min("node").alias("first"), F.max("node").alias("last"))
+    """The file of each fill; a writer partitions by it."""
+    return _fills(spark, d).select("node", F.concat("o_chrom", F.lit(".net")).alias("file"))
 
 
-@query(f"WITH {FILLS}, {PSL}, c AS (SELECT 'c' || (l_orderkey % 3) AS chr, t_start, t_end, q_name, match FROM psl) SELECT f.node, count(*) AS chains, CAST(sum(match) AS BIGINT) AS match FROM fills f JOIN c ON f.o_chrom = c.chr AND c.t_start < f.e AND f.s < c.t_end WHERE f.node % 50 = 0 AND f.s < 3000 GROUP BY f.node")
+_SUBSET = f"""{PSL}, cb AS (SELECT l_orderkey AS id, q_name, t_start AS s, t_start + b1 AS e, CASE WHEN strand = '-' THEN 20000 - q_end ELSE q_start END AS q FROM psl
+  UNION ALL SELECT l_orderkey, q_name, t_start + b1 + 5, t_start + al + 5, CASE WHEN strand = '-' THEN 20000 - q_end ELSE q_start END + b1 + q_base_insert FROM psl),
+fl AS (SELECT o_orderkey AS id, (o_orderkey * 7) % 3000 + 20 AS a, (o_orderkey * 7) % 3000 + 40 + o_custkey % 500 AS z FROM orders),
+ct AS (SELECT fl.id, q_name, greatest(s, a) AS s, least(e, z) AS e, q + greatest(s, a) - s AS q FROM cb JOIN fl ON cb.id = fl.id AND greatest(s, a) < least(e, z))"""
+
+
+@query(f"WITH {_SUBSET} SELECT id, q_name, min(s) AS t_start, max(e) AS t_end, min(q) AS q_start, max(q + e - s) AS q_end, count(*) AS blocks, CAST(sum(e - s) AS BIGINT) AS bases FROM ct GROUP BY id, q_name")
 def net_subset(spark, d):
-    """Chains within the spans of some fills: those of every fiftieth, which stand for a list of names."""
-    f = _fills(spark, d).filter("node % 50 = 0 AND s < 3000").select("node", F.col("o_chrom").alias("chr"), "s", (F.col("e") - 1).alias("e"))
-    c = fx.psl(spark, d).select(F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("chr"), F.col("t_start").alias("s2"), (F.col("t_end") - 1).alias("e2"), "match")
-    return intervals.range_join(f, c, "chr").groupBy("node").agg(F.count("*").alias("chains"), F.sum("match").alias("match"))
+    """The chains of fills, cut to what stands within each fill's span."""
+    p = fx.psl(spark, d)
+    rows = p.select(F.col("l_orderkey").alias("id"), "q_name", F.explode(F.arrays_zip("q_starts", "t_starts", "block_sizes")).alias("x"))
+    c = rows.select("id", "q_name", F.col("x.t_starts").alias("t"), F.col("x.q_starts").alias("q"), F.col("x.block_sizes").alias("n"))
+    at = F.col("o_orderkey") * 7 % 3000 + 20
+    f = fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), at.alias("s"), (at + 20 + F.col("o_custkey") % 500).alias("e"))
+    return chains.subset(c, f, ["id", "q_name"])
+
+
+@query()
+def chain_pre_net(spark, d):
+    """Chains of line items, by score, that cover something that better ones leave."""
+    p = fx.psl(spark, d)
+    row = F.xxhash64("l_orderkey", "n", "t_start", "q_start")
+    blocks = F.transform(F.arrays_zip("q_starts", "t_starts", "block_sizes"), lambda x: F.struct(x["t_starts"].alias("t"), x["q_starts"].alias("q"), x["block_sizes"].alias("n")))
+    c = p.select(row.alias("id"), (F.col("match") - F.col("mismatch")).cast("double").alias("score"), "t_name", "t_size", "q_name", "q_size", blocks.alias("blocks"))
+    return chains.pre_net(c).select("id", "t_name", "q_name", "score")
 
 
 # --- chains -----------------------------------------------------------------------------------
@@ -142,16 +162,24 @@ def fas_slice(spark, d):
     return pairs.slice_blocks(fx.blocks(spark, d), 11, 40).select("block_id", "idx", "seq")
 
 
-@query(f"WITH {BLOCKS} SELECT seq AS target, count(*) AS joined, min(block_id) AS first FROM blocks WHERE idx = 0 GROUP BY seq")
+@query(f"""WITH {BLOCKS}, t AS (SELECT block_id, md5(seq) AS target FROM blocks WHERE idx = 0), f AS (SELECT target, min(block_id) AS first FROM t GROUP BY target),
+e AS (SELECT target, block_id, idx, name, seq FROM blocks JOIN t USING (block_id) JOIN f USING (target) WHERE idx > 0 OR block_id = first)
+SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY idx > 0, block_id, idx) AS INTEGER) AS place, block_id, name, seq FROM e""")
 def fas_join(spark, d):
-    """Blocks that share a target entry, as their number and the first of them."""
-    return fx.blocks(spark, d).filter("idx = 0").groupBy(F.col("seq").alias("target")).agg(F.count("*").alias("joined"), F.min("block_id").alias("first"))
+    """Blocks that share a target entry become one: the target once, then the others' entries in order."""
+    b = fx.blocks(spark, d)
+    header = b.filter("idx = 0").select("block_id", F.md5(F.col("seq").cast("binary")).alias("target"))
+    return blocks.joined(b, header).select("target", "place", "block_id", "name", "seq")
 
 
-@query(f"WITH {BLOCKS}, m AS (SELECT * FROM (VALUES ('sp1', 'one'), ('sp1', 'uno'), ('sp2', 'two')) v(old, new)) SELECT block_id, idx, coalesce(new, name) AS name FROM blocks LEFT JOIN m ON name = old")
+@query(f"""WITH {BLOCKS}, m(old, news) AS (VALUES ('sp1', ['one', 'uno']), ('sp2', ['two']), ('sp9', [])), k AS (SELECT block_id, count(*) AS hits, count(DISTINCT old) AS kinds, any_value(old) AS old, any_value(news) AS news FROM blocks JOIN m ON name = old GROUP BY block_id),
+r AS (SELECT block_id, old, unnest(news) AS new, unnest(range(0, len(news))) AS copy FROM k WHERE kinds = 1 AND hits = 1)
+SELECT block_id, CAST(copy AS INTEGER) AS copy, idx, CASE WHEN name = old THEN new ELSE name END AS name FROM blocks JOIN r USING (block_id)
+UNION ALL SELECT block_id, 0, idx, name FROM blocks WHERE block_id NOT IN (SELECT block_id FROM k WHERE kinds = 1 AND hits = 1)""")
 def fas_replace(spark, d):
-    m = spark.createDataFrame([("sp1", "one"), ("sp1", "uno"), ("sp2", "two")], "old string, new string")
-    return fx.blocks(spark, d).join(F.broadcast(m), F.col("name") == F.col("old"), "left").select("block_id", "idx", F.coalesce("new", "name").alias("name"))
+    """A block with one listed header comes once for each new name, others stay."""
+    m = spark.createDataFrame([("sp1", ["one", "uno"]), ("sp2", ["two"]), ("sp9", [])], "old string, news array<string>")
+    return blocks.replaced(fx.blocks(spark, d), m).select("block_id", "copy", "idx", "name")
 
 
 @query(f"WITH {SEQ}, l AS (SELECT o_orderkey AS block_id, 0 AS idx, 'd' || (o_orderkey % (SELECT count(*) FROM documents)) AS name, 1 AS s, 30 AS e FROM orders UNION ALL SELECT o_orderkey, 1, 'd' || (o_custkey % (SELECT count(*) FROM documents)), 11, 40 FROM orders) SELECT block_id, idx, name, substr(seq, s, e - s + 1) AS seq FROM l JOIN seq USING (name)")
@@ -282,3 +310,22 @@ def pbit_range(spark, d):
     own, refs, arch = _archive(spark, d)
     held = pairs.restore(arch.filter("seg BETWEEN 0 AND 2"), refs, 50)
     return held.filter("length(seq) >= 31").select("sample", F.substring("seq", 31, 90).alias("seq"))
+
+
+# --- sketches ---------------------------------------------------------------------------------
+@query(f"""WITH {SOLID}, {_kmer_sql(21)}, h0 AS (SELECT DISTINCT name, {_HASH.format(x='kmer')} AS h FROM km), sk AS (SELECT name, h FROM (SELECT name, h, row_number() OVER (PARTITION BY name ORDER BY h) AS rank FROM h0) WHERE rank <= 100),
+l AS (SELECT name, list(h) AS hs FROM sk GROUP BY name), p AS (SELECT DISTINCT a.name AS n1, b.name AS n2 FROM sk a JOIN sk b ON a.h = b.h AND a.name < b.name),
+u AS (SELECT n1, n2, list_sort(list_distinct(list_concat(x.hs, y.hs)))[1:100] AS fewest, list_intersect(x.hs, y.hs) AS common FROM p JOIN l x ON x.name = n1 JOIN l y ON y.name = n2),
+j AS (SELECT n1, n2, CAST(len(list_intersect(fewest, common)) AS BIGINT) AS shared, CAST(len(fewest) AS BIGINT) AS size FROM u)
+SELECT n1, n2, shared, size, CASE WHEN shared = 0 THEN 1.0 ELSE round(greatest(least(1.0, -ln(2 * (shared / size) / (1 + shared / size)) / 21), 0.0) + 0.0, 4) END AS mash FROM j""")
+def dist_mash(spark, d):
+    """Mash distances of bottom sketches."""
+    s = kmers.occurrences(fx.sequences(spark, d, solid=True), 21)
+    sketch = kmers.bottom(s.select("name", kmers.hash60(F.col("kmer")).alias("h")).distinct(), 100)
+    return kmers.mash(sketch, 21, 100)
+
+
+@query()
+def dist_mini_windows(spark, d):
+    """Similarity by jumping minimizers of windows of ten."""
+    return kmers.similarity(kmers.jumping(fx.sequences(spark, d), 21, 10), 21)

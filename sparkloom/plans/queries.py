@@ -801,7 +801,7 @@ ORACLES["sd_cluster"] = ORACLES["sd_cluster"].replace("s // 400", "CAST(floor(s
 @query()
 def sd_cover(spark, d):
     """Greedy set cover of parts by suppliers."""
-    li = fx.read(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("set"), F.col("l_suppkey").alias("seq"), (F.col("l_partkey") % 97).alias("item"))
+    li = fx.read(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("set"), F.col("l_suppkey").alias("seq"), F.col("l_partkey").alias("item"))
     return graphs.greedy_cover(li)
 
 
@@ -858,11 +858,11 @@ def plot_venn(spark, d):
     return m.groupBy("mask").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PAF} SELECT q_name, t_name, t_start, q_start, block_len FROM paf WHERE block_len >= 100 AND matches / block_len >= 0.7 ORDER BY block_len DESC, q_name, t_name, q_start, t_start LIMIT 1000")
+@query(f"WITH {PAF} SELECT q_name, t_name, t_start, q_start, block_len FROM paf WHERE block_len >= 100 AND matches / block_len >= 0.7 ORDER BY block_len DESC, q_name, t_name, q_start, t_start LIMIT 100000")
 def plot_dot(spark, d):
     """The longest alignments that pass: the limit is the feature."""
     p = fx.paf(spark, d).filter("block_len >= 100 AND matches / block_len >= 0.7")
-    return p.orderBy(F.desc("block_len"), "q_name", "t_name", "q_start", "t_start").limit(1000).select("q_name", "t_name", "t_start", "q_start", "block_len")
+    return p.orderBy(F.desc("block_len"), "q_name", "t_name", "q_start", "t_start").limit(100_000).select("q_name", "t_name", "t_start", "q_start", "block_len")
 
 
 @query(f"WITH {SEQ}, {_kmer_sql(8)}, t AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer) SELECT CAST(length(kmer) - length(translate(kmer, 'GC', '')) AS BIGINT) AS gc, " + ", ".join(f"count(*) FILTER (least(n, 5) = {i}) AS d{i}" for i in range(1, 6)) + " FROM t GROUP BY 1")
