@@ -25,7 +25,7 @@ def op3_orc_tokens(spark, sf_dir):
 
 def op4_backward_extension(spark, sf_dir):
     out = suffixes.remove_repeats(_docs(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 def op5_template_windows(spark, sf_dir):

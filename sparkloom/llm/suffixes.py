@@ -4,12 +4,14 @@ Every window of ``length`` bytes has an anchor: the K-byte string in it with the
 leftmost. Equal windows have equal anchors at equal places, so windows are compared only within
 the rows of one anchor. Runs of windows with one anchor are one row, and equal rows are one.
 
-The rows of an anchor are sorted by what follows its start, which gives the transform's rows at
-the anchor and the common prefixes of neighbours. Then all intervals are extended backward at
-once, byte by byte: an interval splits by the byte before its rows (the transform's column), and
-rows keep their order within it (the LF mapping). An interval of level l has l bytes before the
-anchor in common; neighbours whose common prefix reaches ``length`` repeat that window.
-Intervals of one row end; the expansion ends at the level where ``length`` is full.
+The rows of an anchor form one interval. It is expanded breadth first by what follows the anchor's
+start: at value l an interval splits by byte l, and rows at a split have l bytes in common, so
+common prefixes come by increasing value, up to ``length``, and the transform's rows at the anchor
+stand in order. Then all intervals are extended backward at once, byte by byte: an interval splits
+by the byte before its rows (the transform's column), and rows keep their order within it (the LF
+mapping). An interval of level l has l bytes before the anchor in common; neighbours whose common
+prefix reaches ``length`` repeat that window. Intervals of one row end; the expansion ends at the
+level where ``length`` is full.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, small_batches
-from .words import _powers, mixed, text_bytes
+from .common import Scratch, arrow_map, process_cache, small_batches
+from .words import mixed, text_bytes
 
 LENGTH, K = 400, 128
 #: Rows of an anchor that go through the transform in one task; more are compared by window hashes.
@@ -31,6 +34,19 @@ MOST = 20_000
 PIECE = 1 << 18
 
 
+_R, _INVERSE = np.uint64(0x9E3779B97F4A7C55), np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a number and of its inverse modulo 2^64, for rolling sums; kept for the next piece."""
+    cache = process_cache()
+    if len(cache.get("powers", [()])[0]) < n:
+        ones, backs = np.full(max(n, PIECE + LENGTH), _R), np.full(max(n, PIECE + LENGTH), _INVERSE)
+        ones[0] = backs[0] = 1
+        cache["powers"] = np.cumprod(ones), np.cumprod(backs)
+    return cache["powers"]
+
+
 def _key() -> list:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("k2")]
 
@@ -55,8 +71,9 @@ def _parts(offsets: np.ndarray, length: int):
 def anchored_rows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K):
     """(row, first window, windows, anchor's distance from the first window, anchor hash, content hash) of each run of windows.
 
-    The upper bits of the hashes choose the anchor; the lower bits of a key hold the place, so the
-    least key of a window is that of its leftmost anchor.
+    The upper bits of rolling hashes choose the anchor; the lower bits of a key hold the place, so the
+    least key of a window is that of its leftmost anchor. Strings that share a rolling hash share an
+    anchor and are told apart by their bytes; content hashes equate rows and are xxHash.
     """
     span, low = length - k + 1, np.uint64((1 << 23) - 1)
     for a, b, rows, ends, base in _parts(offsets, length):
@@ -89,7 +106,7 @@ def anchored_rows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k:
         if not len(first):
             continue
         end = stops + length - 1
-        content = mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+        content = np.fromiter((xxhash.xxh3_64_intdigest(x[s:e]) for s, e in zip(first.tolist(), end.tolist())), np.uint64, len(first))
         at = place[first]
         yield rows[row], first - ends[row] + base, stops - first, at - first, h[at], content
 
@@ -114,6 +131,38 @@ class _Range:
         return np.minimum(self.table[p, lo], self.table[p, hi - (1 << p)])
 
 
+def expanded(groups: np.ndarray, wide: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by group and bytes, and what each has in common with the row above it in its group (0 for the first).
+
+    ``wide`` has a row's bytes, ``size`` their number. Intervals are split breadth first, by
+    increasing length of the common prefix; an interval of one row is done.
+    """
+    order = np.argsort(groups, kind="stable")
+    common = np.zeros(len(order), np.int32)
+    interval = np.cumsum(np.append(True, np.diff(groups[order]) != 0)) if len(order) else order
+    live = np.arange(len(order))
+    for value in range(wide.shape[1] + 1):
+        same = interval[live[1:]] == interval[live[:-1]]
+        live = live[np.append(False, same) | np.append(same, False)] if len(live) else live
+        if not len(live):
+            break
+        rows, own = order[live], interval[live]
+        ended = size[rows] <= value
+        byte = np.where(ended, 0, wide[rows, min(value, wide.shape[1] - 1)].astype(np.int64) + 1)
+        same = own[1:] == own[:-1]
+        if not ended.any() and (byte[1:] == byte[:-1])[same].all():
+            continue
+        key = own * 257 + byte
+        by = np.argsort(key, kind="stable")
+        order[live], key = rows[by], key[by]
+        ended = ended[by]
+        cut = np.append(False, same & ((key[1:] != key[:-1]) | ended[1:]))
+        common[live[cut]] = value
+        # rows that end here are equal: each is an interval of its own from now on
+        interval[live] = np.cumsum(np.append(True, (key[1:] != key[:-1]) | ended[1:])) + len(order) * (value + 1)
+    return order, common
+
+
 def repeated_windows(groups: np.ndarray, texts: list[bytes], places: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray:
     """marks[i, l]: the window that starts l bytes before row i's anchor is in another row of its group too.
 
@@ -121,24 +170,17 @@ def repeated_windows(groups: np.ndarray, texts: list[bytes], places: np.ndarray,
     """
     n, span = len(texts), length - k
     marks = np.zeros((n, span + 1), bool)
-    rights = [t[p : p + length] for t, p in zip(texts, places.tolist())]
-    order = np.array(sorted(range(n), key=lambda i: (groups[i], rights[i])), np.int64)
     wide = np.zeros((n, length), np.uint8)
     size = np.zeros(n, np.int64)
     before = np.zeros((n, span), np.uint8)  # the bytes before the anchor, the nearest first
     left = np.minimum(places, span)
-    for r, i in enumerate(order.tolist()):
-        x = rights[i]
-        wide[r, : len(x)] = np.frombuffer(x, np.uint8)
-        size[r] = len(x)
-        b = np.frombuffer(texts[i], np.uint8, int(left[i]), int(places[i] - left[i]))
-        before[r, : len(b)] = b[::-1]
-    left, group = left[order], groups[order]
-    common = np.zeros(n, np.int32)  # with the row above, from the anchor's start on
-    if n > 1:
-        differ = wide[1:] != wide[:-1]
-        upto = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-        common[1:] = np.where(group[1:] == group[:-1], np.minimum(upto, np.minimum(size[1:], size[:-1])), 0)
+    for i, (t, p) in enumerate(zip(texts, places.tolist())):
+        x = np.frombuffer(t, np.uint8)
+        size[i] = min(length, len(x) - p)
+        wide[i, : size[i]] = x[p : p + length]
+        before[i, : left[i]] = x[p - left[i] : p][::-1]
+    order, common = expanded(groups, wide, size)
+    before, left, group = before[order], left[order], groups[order]
     ranges = _Range(common)
     rows = np.arange(n)  # rows of the transform that are in intervals of two and more, in order
     interval = np.cumsum(np.append(True, group[1:] != group[:-1])) if n else rows
@@ -265,8 +307,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the
     same text or another; strings overlap freely and are judged on the input. A null text counts
-    as empty. Repeated rows repeat each other's strings. Texts shorter than ``length`` stay.
+    as empty. Repeated rows repeat each other's strings. Texts shorter than ``length`` stay. Columns
+    with the names of the added ones give way.
     """
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     own = docs.select("doc_id", "text")

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-
-from .common import process_cache
+import xxhash
 
 _R = np.uint64(0x9E3779B97F4A7C55)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _STEPS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -19,17 +17,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    cache = process_cache()
-    if len(cache.get("powers", [()])[0]) < n:
-        ones = np.full(max(n, 1 << 20), _R)
-        ones[0] = 1
-        backs = np.full(len(ones), _INVERSE)
-        backs[0] = 1
-        cache["powers"] = np.cumprod(ones), np.cumprod(backs)
-    return cache["powers"]
-
-
 #: ASCII upper case to lower case; other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -64,14 +51,29 @@ def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of a word that are hashed eight at a time; a longer word goes through xxHash.
+SHORT = 64
+_LANES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each word: a polynomial by prefix sums, then mixed with the length."""
+    """A hash of the bytes of each word: eight bytes are taken in, then all is mixed, until the word ends."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, 8), (1, 1))
+    lane = eight[starts].view(np.uint64).ravel() & _LANES[np.minimum(size, 8)]
+    h = mixed(size.astype(np.uint64) * _R ^ lane)
+    at, live = 8, np.flatnonzero((size > 8) & (size <= SHORT))
+    while len(live):
+        left = size[live] - at
+        lane = eight[starts[live] + at].view(np.uint64).ravel() & _LANES[np.minimum(left, 8)]
+        h[live] = mixed((h[live] + _R) ^ lane)
+        at, live = at + 8, live[left > 8]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed=1)
+    return h
 
 
 def joined(words: np.ndarray, size: int) -> np.ndarray:
