@@ -9,9 +9,10 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that goes to Python; long texts make batches of fewer rows.
@@ -29,13 +30,31 @@ def process_cache() -> dict:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset, a temporary one (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one if all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or process_cache().get("folder")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = process_cache()["folder"] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
     return folder
 
 
+#: Rows of a small table that one task takes.
+TASK_ROWS = 50_000
+
+
+@contextmanager
+def tasks_for(spark: SparkSession, rows: int):
+    """Shuffles of tables of about ``rows`` rows: no more partitions than these need. The session's number comes back."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 1 + rows // TASK_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,19 +66,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables in the shared folder: they cut lineage and outlive lost executors.
 
-    ``keep`` writes a frame and reads it back. A kept table goes when ``drop`` is called; what a
-    returned frame still reads goes when the driver's Python ends.
+    ``keep`` writes a frame and reads it back; ``rows`` tells how many rows each name's last table has.
+    A kept table goes when ``drop`` is called; what a returned frame still reads goes when the
+    driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.written = spark, {}, 0
+        self.spark, self.paths, self.rows, self.written = spark, {}, {}, 0
         self.top = f"{shared_folder(spark).rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.top)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.written += 1
         path = self.paths[name] = f"{self.top}/{name}-{self.written}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        self.rows[name] = seen.get["n"]
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -20,12 +20,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bits import without
 from .common import Scratch, arrow_map, small_batches
-from .rounds import connect, numbered
+from .rounds import collapsed, connect, numbered
 from .words import shingle_sets
 
 #: Counters of the sketch, and the parts in which tasks send it.
@@ -141,9 +141,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     others = scratch.keep(held.filter("doc_id <> gid").select("doc_id", "psig").distinct(), "others")
     index = without(live.select("doc_id", "psig", "n", "prefix"), ["doc_id", "psig"], others)
     index = index.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    by = Window.partitionBy("token").orderBy("gid")
-    lists = index.withColumn("prev", F.lag("gid").over(by)).withColumn("next", F.lead("gid").over(by))
-    lists = lists.filter("(prev IS NOT NULL AND prev <> gid) OR (next IS NOT NULL AND prev IS NULL)").select("token", "gid", "n", "pos")
+    # the least place of members that meet in several lists is that of the same shingle for all of them
+    lists = collapsed(index.withColumnRenamed("gid", "cls"), ["n"], ["pos"]).withColumnRenamed("cls", "gid")
 
     # Expand to classes. A group of several classes is a list of its own.
     several = classes.join(groups.filter("many > 1"), ["n", "psig"]).select("gid", "cls", F.col("n").cast("int").alias("n"))
@@ -166,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         scratch.drop("sets", "pairs")
         pairs = pairs.join(sided("a", 1), "a").join(sided("b", 2), "b").filter(near).select("a", "b")
         pairs = scratch.keep(pairs, "pairs")
-        if pairs.isEmpty():
+        if not scratch.rows["pairs"]:
             return pairs.withColumn("linked", F.lit(False))
         ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         named = classes.join(ids, "cls").select(F.col("cls").alias("doc_id"), "sig")

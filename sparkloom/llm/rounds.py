@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tasks_for
 from .components import components
 
 
@@ -23,6 +23,20 @@ def numbered(lists: DataFrame) -> DataFrame:
     return lists.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy("cls")))
 
 
+def collapsed(index: DataFrame, attrs: list[str], least: list[str], two: str = "true") -> DataFrame:
+    """Lists of two and more members from rows (token, cls, attrs, least); lists with the same members become one.
+
+    The one list has, of each member, the smallest values of ``least``. ``two`` is a condition on
+    the smallest and largest attrs (x1, x2 for attr x) of a list of two: without it the list goes.
+    """
+    by = Window.partitionBy("token")
+    held = index.withColumns({"_n": F.count("*").over(by), "_x": F.bit_xor(F.xxhash64("cls")).over(by), "_m": F.min("cls").over(by)})
+    if two != "true":
+        held = held.withColumns({f"{x}{i}": f(x).over(by) for x in attrs for i, f in ((1, F.min), (2, F.max))}).filter(f"_n > 2 OR ({two})")
+    held = held.filter("_n > 1").select(F.xxhash64("_n", "_x", "_m").alias("token"), "cls", *attrs, *least)
+    return held.groupBy("token", "cls").agg(*[F.first(x).alias(x) for x in attrs], *[F.min(x).alias(x) for x in least])
+
+
 def connect(lists: DataFrame, attrs: list[str], keep: str, test: Callable[[DataFrame], DataFrame], scratch: Scratch, steps: tuple[int, ...] = (1, 8), marks: DataFrame | None = None, near: str = "true") -> DataFrame | None:
     """(id, component) of all ids that links join, or None without links.
 
@@ -39,22 +53,23 @@ def connect(lists: DataFrame, attrs: list[str], keep: str, test: Callable[[DataF
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "leftanti")
         tested = scratch.keep(test(pairs), "tested")
-        links = tested.filter("linked").select("a", "b")
-        no = tested.filter("NOT linked").select("a", "b")
-        failed = no if failed is None else failed.union(no)
-        if not links.isEmpty():
-            if labels is not None:
-                at = lambda side: F.coalesce(F.col(f"c{side}"), F.col(side)).alias(side)
-                links = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(at("a"), at("b"))
-            new = components(links, scratch)
-            if labels is not None:
-                moved = labels.join(new.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-                new = moved.union(new.join(labels.select("id"), "id", "leftanti"))
-            labels = scratch.keep(new, "labels")
+        with tasks_for(scratch.spark, scratch.rows["tested"]):
+            links = tested.filter("linked").select("a", "b")
+            no = tested.filter("NOT linked").select("a", "b")
+            failed = no if failed is None else failed.union(no)
+            if not links.isEmpty():
+                if labels is not None:
+                    at = lambda side: F.coalesce(F.col(f"c{side}"), F.col(side)).alias(side)
+                    links = links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").select(at("a"), at("b"))
+                new = components(links, scratch)
+                if labels is not None:
+                    moved = labels.join(new.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                    new = scratch.keep(moved.union(new.join(labels.select("id"), "id", "leftanti")), "labels")
+                labels = new
         low += step
         scratch.release()
         lists = scratch.keep(_open(lists, labels, low), "lists")
-        if lists.isEmpty():
+        if not scratch.rows["lists"]:
             return labels
 
 
