@@ -19,8 +19,8 @@ from .common import arrow_map, small_batches
 from .words import text_bytes
 
 DIMS, GRAMS = 4096, (2, 3)
-#: Labelled rows of a language that the centroids are fitted on, about; a bound of the fit alone.
-SAMPLE, CENTROIDS = 600, 4
+#: Labelled rows of a language that the centroids are fitted on, about, and languages (the most frequent); bounds of the fit alone.
+SAMPLE, LANGUAGES, CENTROIDS = 600, 1000, 4
 #: Bounds of rejection: they keep all but this share of a language's held-out texts and of their beginnings of CUTS bytes.
 REJECT, CUTS = 0.01, (4, 8, 16, 32, 64, 128, 256, 512, 1024)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -77,14 +77,15 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, centroids: i
     """The model: labels, centroids and their labels, idf, and each label's rejection bounds by size of a text.
 
     Learns from about ``sample`` rows of each label, chosen by a hash of the id, two thirds of them
-    if there are fewer; half as many others set the bounds.
+    if there are fewer; half as many others set the bounds. Of more than LANGUAGES labels, the most frequent ones.
     """
     small_batches(docs.sparkSession)
     rows = training_rows(docs, label).select("doc_id", "text", F.col(label).cast("string").alias("label"))
-    many = rows.groupBy("label").count()
-    unit = 1 << 30
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(unit)) * F.greatest("count", F.lit(sample * 3 // 2))
-    chosen = rows.join(many, "label").withColumn("held", place >= F.lit(sample * unit)).filter(place < F.lit(sample * 3 // 2 * unit))
+    many = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
+    share = docs.sparkSession.createDataFrame([(r["label"], max(1.0, r["count"] / (sample * 3 // 2))) for r in many], "label string, share double")
+    # from 0 to 1, and beyond for rows that are not drawn
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("share")
+    chosen = rows.join(F.broadcast(share), "label").withColumn("place", place).filter("place < 1").withColumn("held", F.col("place") >= 2 / 3)
 
     def run(batches):
         for b in batches:
@@ -194,13 +195,14 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns, lang_pred, score and rejected of every row.
+    """The ``keep`` columns, lang_pred, score and rejected of every row; kept columns of these names give way.
 
-    und, 0 and rejected: a null text, one without a letter, or nothing was learned.
+    und, 0 and rejected: a null text, one without a letter, or nothing was learned. Rows are judged
+    one by one, so repeated ones get the same answer; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("lang_pred", "score", "rejected")]
     columns = list(dict.fromkeys([*keep, "text"]))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
