@@ -205,5 +205,10 @@ def pack(parts: DataFrame, length: int = LENGTH, grain: int = 4) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = 0) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text: empty."""
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text is empty and has the end id alone; a null doc_id stays null; repeated rows are packed
+    each; an empty table gives an empty result. Pieces of one length are told apart by nothing but
+    their id and number, so which of two repeated rows stands where is open.
+    """
     return pack(pieces(docs, length, path, end_id), length)

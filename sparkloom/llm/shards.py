@@ -62,8 +62,10 @@ def assign_shards(df: DataFrame, shards: int = 16, slack: float = 0.0, key: str
 
     slack 0: bounds add up to the row count, so counts are at most one apart; slack e: a shard
     holds at most (1 + e) times its share. A null key counts as empty. An empty table gives an
-    empty result; repeated rows get a slot each.
+    empty result; repeated rows get a slot each, and rows of one key and order get their slots in
+    any order. Columns named shard or slot give way.
     """
+    df = df.drop("shard", "slot")
     spark, arcs = df.sparkSession, ring(shards, vnodes)
     ends = F.array(*[F.lit(e) for e, _ in arcs])
     h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -90,7 +92,10 @@ def assign_shards(df: DataFrame, shards: int = 16, slack: float = 0.0, key: str
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, slack: float = 0.0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document (null text: empty)."""
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document (null text: empty).
+
+    Ties of doc_id are ordered by the text's checksum; rows equal in both may swap slots.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     narrow = docs.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
     out = assign_shards(narrow, shards, slack, key="_key", order=("doc_id", "text_crc32"))

@@ -90,7 +90,11 @@ def describe_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def tokenize_to_orc(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write the files to the shared folder, read them back and describe them."""
+    """Write the files to the shared folder, read them back and describe them: doc_id, start, n_tokens, ids_crc32.
+
+    A null text has the end id alone; null ids come first; rows that repeat an id stand in the order
+    of their texts, null first; an empty table gives an empty result. Other columns are not read.
+    """
     scratch = Scratch(docs.sparkSession)
     write_tokens(docs, f"{scratch.top}/tokens.orc", path, end_id)
     return describe_tokens(read_tokens(docs.sparkSession, f"{scratch.top}/tokens.orc"))
