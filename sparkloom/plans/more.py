@@ -154,12 +154,17 @@ def axt_sort(spark, d):
     return s.withColumn("id", (F.row_number().over(w) - 1).cast("long"))
 
 
-_AT = "list_filter(range(1, 61), lambda i: substr(seq, i, 1) <> '-')"
-
-
-@query(f"WITH {BLOCKS}, t AS (SELECT block_id, {_AT} AS b FROM blocks WHERE idx = 0) SELECT block_id, idx, substr(seq, b[11], b[least(40, len(b))] - b[11] + 1) AS seq FROM blocks JOIN t USING (block_id) WHERE len(b) >= 11")
+@query(f"""WITH {BLOCKS}, b AS (SELECT block_id, idx, name, split_part(block_id, '.', 1) AS chr, CASE WHEN idx = 1 THEN '-' ELSE '+' END AS strand, CAST(split_part(block_id, '.', 2) AS BIGINT) * 60 + 1 AS s, rpad(replace(rtrim(seq, '-'), '-', 'N'), 60, '-') AS seq, length(rtrim(seq, '-')) AS n FROM blocks),
+m AS (SELECT block_id, min(n) AS least FROM b GROUP BY block_id), r AS (SELECT * FROM (VALUES (11, 40), (55, 130), (200, 200), (230, 4000)) v(s2, e2)),
+c AS (SELECT t.block_id, greatest(t.s, s2) AS lo, greatest(t.s, s2) - t.s + 1 AS a, least(least(t.s + t.n - 1, e2) - t.s + 1, least) AS z FROM b t JOIN m USING (block_id) JOIN r ON s2 <= t.s + t.n - 1 AND t.s <= e2 WHERE idx = 0)
+SELECT block_id, CAST(lo AS BIGINT) AS lo, idx, name, strand, CAST(CASE WHEN strand = '-' THEN s + n - z ELSE s + a - 1 END AS BIGINT) AS s, CAST(CASE WHEN strand = '-' THEN s + n - a ELSE s + z - 1 END AS BIGINT) AS e, substr(seq, a, z - a + 1) AS seq FROM b JOIN c USING (block_id) WHERE a <= z""")
 def fas_slice(spark, d):
-    return pairs.slice_blocks(fx.blocks(spark, d), 11, 40).select("block_id", "idx", "seq")
+    """Blocks cut by a runlist of the target's places, with the ranges of all entries."""
+    b = fx.blocks(spark, d).withColumn("chr", F.split_part("block_id", F.lit("."), F.lit(1))).withColumn("strand", F.when(F.col("idx") == 1, "-").otherwise("+"))
+    b = b.withColumn("s", F.split_part("block_id", F.lit("."), F.lit(2)).cast("long") * 60 + 1).withColumn("seq", F.rpad(F.replace(F.rtrim("seq", F.lit("-")), F.lit("-"), F.lit("N")), 60, "-"))
+    spans = F.array(*[F.struct(F.lit(x).cast("long").alias("s"), F.lit(y).cast("long").alias("e")) for x, y in ((11, 40), (55, 130), (200, 200), (230, 4000))])
+    runlist = b.select("chr").distinct().select("chr", F.explode(spans).alias("x")).select("chr", "x.s", "x.e")
+    return blocks.sliced(b, runlist).select("block_id", "lo", "idx", "name", "strand", "s", "e", "seq")
 
 
 @query(f"""WITH {BLOCKS}, t AS (SELECT block_id, md5(seq) AS target FROM blocks WHERE idx = 0), f AS (SELECT target, min(block_id) AS first FROM t GROUP BY target),
@@ -329,3 +334,10 @@ def dist_mash(spark, d):
 def dist_mini_windows(spark, d):
     """Similarity by jumping minimizers of windows of ten."""
     return kmers.similarity(kmers.jumping(fx.sequences(spark, d), 21, 10), 21)
+
+
+# --- blocks as files --------------------------------------------------------------------------
+@query(f"WITH {BLOCKS} SELECT block_id, 'sp0.' || split_part(block_id, '.', 1) || '.fas' AS file, string_agg('>' || name || chr(10) || seq || chr(10), '' ORDER BY idx) AS text FROM blocks GROUP BY block_id")
+def fas_split(spark, d):
+    """The file of each block, by species and chromosome of its first entry, and its text with simple headers; a writer partitions by it."""
+    return blocks.as_files(fx.blocks(spark, d).withColumn("chr", F.split_part("block_id", F.lit("."), F.lit(1)))).select("block_id", "file", "text")

@@ -89,3 +89,91 @@ def test_mash(spark):
     j = shared / 20
     assert (row.n1, row.n2, row.shared, row.size) == ("a", "b", shared, 20)
     assert row.mash == round(-math.log(2 * j / (1 + j)) / 21, 4)
+
+
+LAV = """#:lav
+d {
+  "lastz some parameters"
+}
+s {
+  "/data/one.fa" 1 1000 0 1
+  "two.2bit-" 1 400 1 1
+}
+h {
+   ">chrA.fa"
+   ">chrB (reverse complement)"
+}
+a {
+  s 900
+  b 11 21
+  e 60 75
+  l 11 21 30 40 90
+  l 33 41 40 48 75
+  l 41 56 60 75 100
+}
+a {
+  s 1
+  l 5 9 9 8 50
+}
+m {
+  n 0
+}
+"""
+
+
+def test_lav(spark, tmp_path):
+    from sparkloom.sources import lav
+
+    (tmp_path / "x.lav").write_text(LAV)
+    (row,) = lav.read(spark, f"{tmp_path}/x.lav").collect()
+    assert (row.match, row.mismatch, row.strand) == (18 + 6 + 20, 2 + 2, "-")
+    assert (row.q_name, row.q_size, row.q_start, row.q_end) == ("chrB", 400, 400 - 75, 400 - 20)
+    assert (row.t_name, row.t_size, row.t_start, row.t_end) == ("chrA", 1000, 10, 60)
+    assert (row.block_sizes, row.q_starts, row.t_starts) == ([20, 8, 20], [20, 40, 55], [10, 32, 40])
+    assert (row.q_num_insert, row.q_base_insert, row.t_num_insert, row.t_base_insert) == (1, 7, 1, 2)
+    with pytest.raises(ValueError):
+        list(lav.records("a {\n  l 1 1 5 5 90\n}\n"))
+
+
+def test_slices_against_columns(spark):
+    r, rows, want = random.Random(6), [], []
+    spans = [("c", 3, 8), ("c", 12, 12), ("c", 15, 40)]
+    for b in range(40):
+        width, entries = r.randint(5, 30), []
+        for i in range(3):
+            seq = "".join(r.choice("ACGTACGTACGT-") for _ in range(width))
+            entries.append((f"b{b}", i, f"sp{i}", "c" if i == 0 else "x", r.choice("+-"), r.randint(1, 12), seq))
+        if not entries[0][6].strip("-"):
+            continue
+        rows += entries
+        at = {}  # place on the target -> column
+        _, _, _, _, strand, s, seq = entries[0]
+        cols = [i for i, x in enumerate(seq) if x != "-"]
+        for k, c in enumerate(cols if strand == "+" else cols[::-1]):
+            at[s + k] = c
+        gap = [any(e[6][c] == "-" for e in entries) for c in range(width)]
+        for _, lo, hi in spans:
+            lo, hi = max(lo, s), min(hi, s + len(cols) - 1)
+            if lo > hi:
+                continue
+            x, y = sorted((at[lo], at[hi]))
+            while x <= y and gap[x]:
+                x += 1
+            while y >= x and gap[y]:
+                y -= 1
+            if x > y:
+                continue
+            for blk, i, name, ch, st, start, q in entries:
+                own = [c for c, z in enumerate(q) if z != "-"]
+                places = {c: start + (k if st == "+" else len(own) - 1 - k) for k, c in enumerate(own)}
+                a, z = sorted((places[x], places[y]))
+                want.append((blk, lo, i, name, ch, st, a, z, q[x : y + 1]))
+    df = spark.createDataFrame(rows, "block_id string, idx int, name string, chr string, strand string, s long, seq string")
+    got = blocks.sliced(df, spark.createDataFrame(spans, "chr string, s long, e long"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 100
+
+
+def test_block_files(spark):
+    df = spark.createDataFrame([("1", 1, "b", "c9", "AG"), ("1", 0, "a", "c1", "AC"), ("2", 0, "a", "c2", "TT")], "block_id string, idx int, name string, chr string, seq string")
+    assert sorted(tuple(x) for x in blocks.as_files(df).collect()) == [("1", "a.c1.fas", ">a\nAC\n>b\nAG\n"), ("2", "a.c2.fas", ">a\nTT\n")]
+    assert sorted(x.file for x in blocks.as_files(df, by_block=True).collect()) == ["1.fas", "2.fas"]
