@@ -95,6 +95,18 @@ class Scratch:
                 _delete(self.spark, self.paths.pop(n))
 
 
+#: What workers keep from task to task, by the first word of its key in the cache.
+KEPT = ("encoder", "powers")
+
+
+def forget(keeps: tuple[str, ...]) -> None:
+    """Drop what earlier tasks of other operators left in this worker."""
+    cache = process_cache()
+    for k in [k for k in cache if (k[0] if isinstance(k, tuple) else k) in KEPT]:
+        if (k[0] if isinstance(k, tuple) else k) not in keeps:
+            del cache[k]
+
+
 def trim() -> None:
     """Give freed memory back to the system: a worker lives on after its task."""
     import ctypes
@@ -106,10 +118,11 @@ def trim() -> None:
         pass
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` takes and yields pyarrow tables or batches; one call for each partition."""
+def arrow_map(df: DataFrame, fn, schema: str, keeps: tuple[str, ...] = ()) -> DataFrame:
+    """``fn`` takes and yields pyarrow tables or batches; one call for each partition. ``keeps``: of KEPT, what it uses."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             for out in fn(batches):
                 yield from out.to_batches(max_chunksize=65536) if isinstance(out, pa.Table) else [out]

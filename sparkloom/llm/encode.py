@@ -15,8 +15,8 @@ from itertools import islice
 
 from .common import process_cache
 
-#: Words that a worker's memo holds at most; beyond it, the half that came last goes.
-MEMO = 150_000
+#: Words that a worker's memo holds at most, but for those of one batch; beyond it, the fifth that came last goes.
+MEMO = 400_000
 _RUNS = re.compile(r"\s\s|^\s|\s$|\r")
 #: Letters below this character count as letters in every version of Unicode.
 LATIN = "ɐ"
@@ -48,13 +48,13 @@ class Encoder:
     word alone, any other text with \\r\\r before it for itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo = Memo()
+        self.memo, self.most = Memo(), most
         self.memo.learn = self._learn
         self.four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
 
@@ -71,7 +71,7 @@ class Encoder:
     def _learn(self, key: str) -> bytes:
         """Letters are one pre-token, and so is a run of punctuation after them; the rest is encoded as text."""
         if key[:1] == "\r":
-            word, space, spelled = key.lstrip("\r"), "", ""
+            word, space, spelled = key[2 if key[:2] == "\r\r" else 1 :], "", ""
         else:
             word, space, spelled = key, " ", _SPACE
         if word.isalpha() and (word.isascii() or max(word) < LATIN) and key[:2] != "\r\r":
@@ -93,16 +93,16 @@ class Encoder:
         return ("\r" + text.replace("\n", " \r\n \r")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo = Memo(islice(self.memo.items(), MEMO // 2))
+        if len(self.memo) > self.most:
+            self.memo = Memo(islice(self.memo.items(), self.most * 4 // 5))
             self.memo.learn = self._learn
         get = self.memo.__getitem__
         return [b"".join(map(get, self._keys(t))) for t in texts]
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder of ``path``."""
+def encoder(path: str, most: int = MEMO) -> Encoder:
+    """This process's encoder of ``path``, with a memo of about ``most`` words."""
     cache = process_cache()
-    if ("encoder", path) not in cache:
-        cache["encoder", path] = Encoder(path)
-    return cache["encoder", path]
+    if ("encoder", path, most) not in cache:
+        cache["encoder", path, most] = Encoder(path, most)
+    return cache["encoder", path, most]

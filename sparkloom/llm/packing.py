@@ -17,18 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, salted_rank, small_batches
-from .encode import encoder, tokenizer_path
+from .encode import MEMO, encoder, tokenizer_path
 
 LENGTH, SALTS = 2048, 64
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = 0, memo: int = MEMO) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces; the first piece is the short one."""
     path = path or tokenizer_path()
     small_batches(docs.sparkSession)
 
     def run(batches):
-        enc, end = encoder(path), int(end_id).to_bytes(4, "little")
+        enc, end = encoder(path, memo), int(end_id).to_bytes(4, "little")
         for b in batches:
             rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             texts = [t or "" for t in b.column("text").to_pylist()]
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_i
                     at, k = to, k + 1
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", keeps=("encoder",))
 
 
 def fit_patterns(hist: np.ndarray, grain: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
@@ -204,11 +204,12 @@ def pack(parts: DataFrame, length: int = LENGTH, grain: int = 4) -> DataFrame:
     return out
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = 0, memo: int = MEMO) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty and has the end id alone; a null doc_id stays null; repeated rows are packed
     each; an empty table gives an empty result. Pieces of one length are told apart by nothing but
-    their id and number, so which of two repeated rows stands where is open.
+    their id and number, so which of two repeated rows stands where is open. ``memo`` bounds the words
+    that a worker remembers: fewer take less memory and more time, and change no id.
     """
-    return pack(pieces(docs, length, path, end_id), length)
+    return pack(pieces(docs, length, path, end_id, memo), length)

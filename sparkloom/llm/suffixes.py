@@ -226,7 +226,7 @@ def _scan(docs: DataFrame, length: int, k: int) -> DataFrame:
                 cols = (k1[row], k2[row], start.astype(np.int32), windows.astype(np.int32), place.astype(np.int32), anchor.view(np.int64), content.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "start", "windows", "place", "anchor", "content"])
 
-    return arrow_map(docs.filter("text IS NOT NULL").select(*_key(), "text"), run, _ROWS)
+    return arrow_map(docs.filter("text IS NOT NULL").select(*_key(), "text"), run, _ROWS, keeps=("powers",))
 
 
 def _filter_by(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 22) -> DataFrame:

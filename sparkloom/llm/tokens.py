@@ -42,7 +42,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = 2)
             yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, part, np.int32)), "row": pa.array(np.arange(row, row + n)), "doc_id": b.column("doc_id").cast(pa.int64()), "ids": ids})
             row += n
 
-    return arrow_map(spread, run, SCHEMA)
+    return arrow_map(spread, run, SCHEMA, keeps=("encoder",))
 
 
 def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = 2, stripe_mb: int = 16, row_index: int = 1000) -> None:
