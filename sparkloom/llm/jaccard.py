@@ -6,8 +6,8 @@
 2. Texts with equal sets are one class. Classes with the same size and the same prefix (the part
    of a set that must meet that of a partner) are one group; only groups are indexed.
 3. Groups that share a prefix shingle, and pass the size and position filters, are candidates.
-   Lists expand to classes; pairs whose bit marks leave room for enough overlap are verified on
-   whole sets.
+   Lists expand to classes; pairs whose marks (parities of counts by hash) leave room for enough
+   overlap are verified on whole sets.
 4. Lists are not expanded into all pairs: rounds (see rounds.py) compare members only across
    components not yet joined, until every list is one component or all compared.
 
@@ -30,19 +30,18 @@ from .words import shingle_sets
 
 #: Counters of the sketch, and the parts in which tasks send it.
 COUNTERS, PARTS = 1 << 20, 64
-#: Numbers of 64 bits in a class's bit marks, which bound overlaps from above.
-MARKS = 16
+#: Numbers of 64 bits in a class's marks, which bound overlaps from above; sets of more than BIG have wide ones too.
+MARKS, WIDE, BIG = 16, 64, 256
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
-def _marks(h: np.ndarray) -> np.ndarray:
-    """1,024 bits, as 16 numbers: those that the low bits of a set's hashes name."""
-    bits = np.zeros(64 * MARKS, np.uint8)
-    bits[(h & np.uint64(64 * MARKS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+def _marks(h: np.ndarray, size: int = MARKS) -> np.ndarray:
+    """``size`` numbers of 64 bits: whether a set has an odd count of hashes with each choice of low bits."""
+    odd = np.bincount((h & np.uint64(64 * size - 1)).astype(np.int64), minlength=64 * size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sig(h: np.ndarray) -> bytes:
@@ -77,16 +76,17 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the set), psig (of the prefix), prefix in the global order."""
+    """doc_id, n, sig (of the set), psig (of the prefix), prefix in the global order, marks and wide marks."""
     order = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, size))
 
     def run(batches):
         counts = order.value
         for b in batches:
-            n, sig, psig, prefix, marks = [], [], [], [], []
+            n, sig, psig, prefix, marks, wide = [], [], [], [], [], []
             for _, h in shingle_sets(b.column("text"), size):
                 n.append(len(h))
                 marks.append(_marks(h))
+                wide.append(_marks(h, WIDE) if len(h) > BIG else None)
                 if not len(h):
                     sig.append(None), psig.append(None), prefix.append(h)
                     continue
@@ -97,9 +97,9 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 prefix.append(first)
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "psig": pa.array(psig, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), "marks": pa.array([list(m) for m in marks], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "psig": pa.array(psig, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), "marks": pa.array(marks, pa.list_(pa.int64())), "wide": pa.array(wide, pa.list_(pa.int64()))})
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, sig binary, psig binary, prefix array<long>, marks array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, sig binary, psig binary, prefix array<long>, marks array<long>, wide array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -151,11 +151,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     lists = scratch.keep(numbered(other.union(own)), "lists")
     scratch.release()
     narrow = scratch.keep(rows.select("doc_id", "n", "sig"), "narrow")
+    named = classes.select(F.col("cls").alias("doc_id"), "sig")
+    wide = rows.filter("wide IS NOT NULL AND doc_id IS NOT NULL").join(named, ["doc_id", "sig"], "leftsemi").select(F.col("doc_id").alias("cls"), "wide")
+    wide = scratch.keep(wide.dropDuplicates(["cls"]), "wide")
     scratch.drop("prefixes", "others")
     linked = F.expr(_passes(percent, "size(sa)", "size(sb)", "size(array_intersect(sa, sb))"))
-    # bits that differ are at most the elements that differ: ham <= n1 + n2 - 2 overlap
+    # each element that only one set has turns one bit: ham <= n1 + n2 - 2 overlap
     ham = " + ".join(f"bit_count(m{i}1 ^ m{i}2)" for i in range(MARKS))
     near = f"{100 + percent} * (n1 + n2 - ({ham})) >= {2 * percent} * (n1 + n2)"
+    apart = F.aggregate(F.zip_with("w1", "w2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    close = F.coalesce((100 + percent) * (F.col("n1") + F.col("n2") - apart) >= 2 * percent * (F.col("n1") + F.col("n2")), F.lit(True))
     marks = classes.select("cls", *[f"m{i}" for i in range(MARKS)])
     sided = lambda key, x: classes.select(F.col("cls").alias(key), F.col("n").alias(f"n{x}"), *[F.col(f"m{i}").alias(f"m{i}{x}") for i in range(MARKS)])
     fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2) AND " + _passes(percent, "n1", "n2", "least(pos1, pos2) + least(n1 - pos1, n2 - pos2)")
@@ -163,7 +168,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     def test(pairs: DataFrame) -> DataFrame:
         """Whole sets of the classes that pairs name, read from the texts, and their intersections."""
         scratch.drop("sets", "pairs")
-        pairs = pairs.join(sided("a", 1), "a").join(sided("b", 2), "b").filter(near).select("a", "b")
+        pairs = pairs.join(sided("a", 1), "a").join(sided("b", 2), "b").filter(near).select("a", "b", "n1", "n2")
+        pairs = pairs.join(wide.toDF("a", "w1"), "a", "left").join(wide.toDF("b", "w2"), "b", "left").filter(close).select("a", "b")
         pairs = scratch.keep(pairs, "pairs")
         if not scratch.rows["pairs"]:
             return pairs.withColumn("linked", F.lit(False))
