@@ -461,6 +461,19 @@ def test_fuzzy_lines_find_nearly_all_pairs(spark):
     assert sum(found) >= 0.9 * len(found)
 
 
+def test_fuzzy_lines_without_features(spark):
+    """Lines too long for features, and lines whose words are all short, are compared too."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long = " ".join(word(7) for _ in range(8300))
+    short = [" ".join(word(4) for _ in range(12)) for _ in range(20)]
+    rows = [(0, long), (1, long[:3000] + "q7" + long[3002:]), (2, " ".join(word(7) for _ in range(8300)))]
+    rows += [(10 + 2 * i, x) for i, x in enumerate(short)] + [(11 + 2 * i, x[:20] + "9" + x[21:]) for i, x in enumerate(short)]
+    kept = {x.doc_id for x in lines.dedup_lines(frame(spark, rows)).collect() if x.text}
+    assert {0, 2} <= kept and 1 not in kept
+    assert kept - {0, 2} == {10 + 2 * i for i in range(20)}
+
+
 def test_verified_is_the_edit_distance(spark):
     from sparkloom.llm.common import Scratch
 
