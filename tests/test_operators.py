@@ -133,3 +133,32 @@ def test_chains_cross_wide_gaps(spark, model):
     df = spark.createDataFrame([("t", "q", "+", *x) for x in data], "t_name string, q_name string, strand string, t long, q long, n long, score long")
     got = rows(chains.chain_blocks(df, model).select("t_start", "t_end", "blocks"))
     assert got == want
+
+
+def test_chains_of_many_small_pairs(spark):
+    """Many pairs of a few blocks, and one with more rows than a batch holds: each as _chain_group has it alone, in seconds."""
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    n = 40_000
+    data = [(f"t{g}", f"q{g % 7}", "+-"[g % 2], int(a), int(b), int(c), int(c) * 100) for g in r.integers(0, n // 3, n).tolist() for a, b, c in [r.integers([0, 0, 5], [3000, 3000, 60])]]
+    data = sorted(set(data)) + [(None, "q", "+", 5, 5, 10, 1000), (None, "q", "+", 20, 20, 10, 1000)]
+    want, by = [], {}
+    for x in data:
+        by.setdefault(x[:3], []).append(x[3:])
+    for k, v in by.items():
+        a = np.array(sorted(v, key=lambda x: (x[0], x[1], x[2])))
+        number = chains._chain_group(a[:, 1], a[:, 0], a[:, 2], a[:, 3], "loose")
+        want += [(str(k[0]), k[1], k[2], int(x[:, 0].min()), int((x[:, 0] + x[:, 2]).max()), len(x)) for i in set(number.tolist()) for x in [a[number == i]]]
+    df = spark.createDataFrame(data, "t_name string, q_name string, strand string, t long, q long, n long, score long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "101")
+    try:
+        begun = time.time()
+        got = [(str(x[0]), *x[1:]) for x in chains.chain_blocks(df).select("t_name", "q_name", "strand", "t_start", "t_end", "blocks").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert time.time() - begun < 60
+    assert sorted(got) == sorted(want)
