@@ -162,3 +162,15 @@ def test_chains_of_many_small_pairs(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert time.time() - begun < 60
     assert sorted(got) == sorted(want)
+
+
+def test_net_of_many_targets(spark):
+    """Nets of thousands of targets, in seconds; a null target is one of its own and no level leaks to the next."""
+    import time
+
+    data = [(None if i == 0 else f"t{i}", 0, 200, "a", "+", 9.0) for i in range(20_000)] + [(None, 10, 100, "b", "-", 12.0)]
+    c = spark.createDataFrame(data, "t_name string, t_start long, t_end long, q_name string, strand string, score double").localCheckpoint()
+    begun = time.time()
+    got = [tuple(r) for r in chains.net(c).filter("t_name IS NULL OR s > 0 OR e < 200 OR level > 1").collect()]
+    assert sorted(x[1:4] for x in got) == [(10, 100, "b"), (100, 200, "a")] and {x[6] for x in got} == {1}
+    assert time.time() - begun < 20
