@@ -97,9 +97,9 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, centroids: i
                 for i, row in enumerate(c):
                     if has_letter(plain[at + i]):
                         dims = np.flatnonzero(row)
-                        yield pa.RecordBatch.from_pydict({"label": pa.array([labels[at + i]]), "held": pa.array([held[at + i]]), "dims": pa.array([dims.astype(np.int32)]), "n": pa.array([row[dims].astype(np.int32)])})
+                        yield pa.RecordBatch.from_pydict({"label": pa.array([labels[at + i]]), "held": pa.array([held[at + i]]), "dims": pa.array([dims.astype("<u2").tobytes()]), "n": pa.array([row[dims].astype("<i4").tobytes()])})
 
-    got = arrow_map(chosen.select("label", "held", "text"), run, "label string, held boolean, dims array<int>, n array<int>").collect()
+    got = arrow_map(chosen.select("label", "held", "text"), run, "label string, held boolean, dims binary, n binary").collect()  # bytes: the driver holds no numbers as objects
     got.sort(key=lambda r: (r.label, r.dims, r.n))
     labels = sorted({r.label for r in got})
     if not labels:
@@ -142,7 +142,7 @@ def noise(n: int = 200, seed: int = 5) -> list[str]:
 def _dense(rows: list) -> np.ndarray:
     c = np.zeros((len(rows), DIMS), np.int32)
     for i, r in enumerate(rows):
-        c[i, r.dims] = r.n
+        c[i, np.frombuffer(r.dims, "<u2")] = np.frombuffer(r.n, "<i4")
     return c
 
 
