@@ -201,3 +201,10 @@ def test_keyed_kmers_of_a_set(spark, monkeypatch):
     got = sorted(tuple(x) for x in kmers.keyed(df, 20, among=table).collect())
     own = {number(x) for _, x in _own_kmers(rows[0][1][100:140], 20)}
     assert {x for x in want if x[2] in own} <= set(got) and len(got) < 40 and len(table) == 1 << 21
+
+
+def test_pre_net_of_equal_ids(spark):
+    """A covered chain goes, though another one with its id stays."""
+    rows = [(7, 9.0, "t0", 300, "q0", 300, [(10, 10, 50)]), (7, 5.0, "t0", 300, "q0", 300, [(20, 20, 20)]), (8, 4.0, "t0", 300, "q1", 300, [(20, 20, 20)])]
+    df = spark.createDataFrame(rows, "id long, score double, t_name string, t_size long, q_name string, q_size long, blocks array<struct<t:long,q:long,n:long>>")
+    assert sorted((x.id, x.score) for x in chains.pre_net(df).collect()) == [(7, 9.0), (8, 4.0)]
