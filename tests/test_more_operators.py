@@ -1,5 +1,6 @@
 """Pre-nets, subsets of chains, joined and replaced blocks, minimizers and Mash distances against plain Python."""
 
+import hashlib
 import math
 import random
 
@@ -208,3 +209,22 @@ def test_pre_net_of_equal_ids(spark):
     rows = [(7, 9.0, "t0", 300, "q0", 300, [(10, 10, 50)]), (7, 5.0, "t0", 300, "q0", 300, [(20, 20, 20)]), (8, 4.0, "t0", 300, "q1", 300, [(20, 20, 20)])]
     df = spark.createDataFrame(rows, "id long, score double, t_name string, t_size long, q_name string, q_size long, blocks array<struct<t:long,q:long,n:long>>")
     assert sorted((x.id, x.score) for x in chains.pre_net(df).collect()) == [(7, 9.0), (8, 4.0)]
+
+
+def _hash(x):
+    return int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+
+
+def test_sketches_of_packed_kmers(spark, monkeypatch):
+    """Against md5 of strings; texts longer than a piece, repeated names, runs of one k-mer."""
+    monkeypatch.setattr(kmers, "PIECE", 64)
+    r = random.Random(5)
+    rows = [("a", "".join(r.choice("ACGT") for _ in range(400))), ("b", "A" * 200 + "CCGT"), ("c", None), ("a", "GATTACAT" * 6), ("d", "AC")]
+    want = {}
+    for n, t in rows:
+        want.setdefault(n, set()).update(_hash(x) for _, x in _own_kmers(t or "", 21))
+    got = {x.name: x.hs for x in kmers.sketches(spark.createDataFrame(rows, "name string, seq string"), 21, 12).collect()}
+    assert got == {n: sorted(h)[:12] for n, h in want.items() if h}
+    below = 1 << 58
+    got = sorted(tuple(x) for x in kmers.hashed(spark.createDataFrame(rows, "name string, seq string"), 21, below).collect())
+    assert got == sorted((n, x) for n, h in want.items() for x in h if x < below)
