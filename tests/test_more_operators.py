@@ -243,3 +243,21 @@ def test_runs_of_shared_kmers(spark, monkeypatch):
     got = kmers.shared_runs(spark.createDataFrame(rows, "name string, seq string").repartition(3), 4).collect()
     assert {(x.name, i) for x in got for i in range(x.s, x.e + 1)} == want
     assert kmers.shared_runs(spark.createDataFrame([("a", "ACGTACGT"), ("a", "ACGTACGT")], "name string, seq string"), 4).count() == 0
+
+
+def test_mash_of_ranks(spark):
+    """Against merged sketches, short and equal ones too; no join carries a sketch for each pair."""
+    r = random.Random(6)
+    own = {f"n{i:02}": sorted(r.sample(range(40), r.choice([3, 8, 10, 10]))) for i in range(20)}
+    own |= {"z1": own["n03"], "z2": own["n03"]}
+    df = spark.createDataFrame([(n, h) for n, hs in own.items() for h in hs], "name string, h long")
+    want = set()
+    for a in own:
+        for b in own:
+            both = set(own[a]) & set(own[b])
+            if a < b and both:
+                fewest = sorted(set(own[a]) | set(own[b]))[:10]
+                want.add((a, b, len(both & set(fewest)), len(fewest)))
+    out = kmers.mash(df, 21, 10)
+    assert sorted((x.n1, x.n2, x.shared, x.size) for x in out.collect()) == sorted(want)
+    assert "array_intersect" not in out._jdf.queryExecution().toString()
