@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.operators import blocks, chains, kmers
+from sparkloom.operators import blocks, chains, graphs, kmers
 
 
 def test_pre_net_against_bitmaps(spark):
@@ -261,3 +261,20 @@ def test_mash_of_ranks(spark):
     out = kmers.mash(df, 21, 10)
     assert sorted((x.n1, x.n2, x.shared, x.size) for x in out.collect()) == sorted(want)
     assert "array_intersect" not in out._jdf.queryExecution().toString()
+
+
+def test_cover_of_many_sets(spark):
+    """Against a plain loop, over parts that share nothing; no job for each set."""
+    r = random.Random(9)
+    rows = sorted({(f"s{i}", i, (i % 3) * 100 + r.randint(0, 30)) for i in range(24) for _ in range(r.randint(1, 12))})
+    left, want = {}, []
+    for s, seq, item in rows:
+        left.setdefault((s, seq), set()).add(item)
+    while any(left.values()):
+        best = max(left, key=lambda x: (len(left[x]), x[1]))
+        gone = set(left[best])
+        want.append((len(want) + 1, best[0], len(gone)))
+        left = {x: items - gone for x, items in left.items()}
+    out = graphs.greedy_cover(spark.createDataFrame(rows, "set string, seq long, item long"))
+    assert [tuple(x) for x in out.orderBy("step").collect()] == want
+    assert "LocalTableScan" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == ["step", "set", "gain"]
