@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import gcd
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,19 +128,47 @@ def replaced(df: DataFrame, mapping: DataFrame, some: bool = False) -> DataFrame
 
 def orfs(df: DataFrame, min_len: int = 1, start_met: bool = False, end_stop: bool = False) -> DataFrame:
     """Open reading frames of six frames: name, strand, frame, s, e (1-based, + coordinates), aa."""
-    plus = df.select("name", F.length("seq").alias("n"), F.lit("+").alias("strand"), seqs.upper(F.col("seq")).alias("seq"))
-    minus = plus.select("name", "n", F.lit("-").alias("strand"), seqs.revcomp(F.col("seq")).alias("seq"))
-    frames = F.array(*[F.struct(F.lit(i).alias("frame"), seqs.translate_frame(F.col("seq"), i).alias("aa")) for i in range(3)])
-    acids = plus.union(minus).select("name", "n", "strand", F.explode(frames).alias("f")).select("name", "n", "strand", "f.frame", "f.aa")
-    runs = F.regexp_extract_all("aa", F.lit(r"(X*[^X*][^*]*\*?|X+\*?|\*)"), F.lit(1))
-    parts = acids.select("name", "n", "strand", "frame", F.posexplode(runs).alias("i", "run"))
-    w = Window.partitionBy("name", "strand", "frame").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("end", F.sum(F.length("run")).over(w)).withColumn("aa", F.regexp_replace("run", "^X+", ""))
-    parts = parts.withColumn("start", F.col("end") - F.length("aa")).filter(F.length("aa") >= min_len)
-    if start_met:
-        parts = parts.filter("aa LIKE 'M%'")
-    if end_stop:
-        parts = parts.filter("aa LIKE '%*'")
-    s = F.when(F.col("strand") == "+", F.expr("frame + 3 * start + 1")).otherwise(F.expr("n - frame - 3 * end + 1"))
-    e = F.when(F.col("strand") == "+", F.expr("frame + 3 * end")).otherwise(F.expr("n - frame - 3 * start"))
-    return parts.select("name", "strand", "frame", s.cast("long").alias("s"), e.cast("long").alias("e"), "aa")
+    plus, minus, acid = np.full(256, 4, np.uint8), np.full(256, 4, np.uint8), np.full(125, 88, np.uint8)
+    for i, x in enumerate("ACGT"):
+        plus[[ord(x), ord(x.lower())]] = i
+        minus[[ord(x), ord(x.lower())]] = 3 - i
+    minus[[85, 117]] = 0  # the complement of U is A
+    for codon, x in seqs.CODONS.items():
+        acid[sum("ACGT".index(c) * 5**i for i, c in enumerate(reversed(codon)))] = ord(x)
+
+    def found(text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        n = len(raw)
+        for strand, code in (("+", plus[raw]), ("-", minus[raw[::-1]])):
+            for frame in range(min(3, max(0, n - 2))):
+                m = (n - frame) // 3
+                three = code[frame : frame + 3 * m].reshape(m, 3)
+                aas = acid[three[:, 0] * 25 + three[:, 1] * 5 + three[:, 2]]
+                ends = np.flatnonzero(aas == 42) + 1
+                if not len(ends) or ends[-1] < m:
+                    ends = np.append(ends, m)
+                starts = np.concatenate([[0], ends[:-1]])
+                whole = aas.tobytes()
+                for i in np.flatnonzero(ends - starts >= min_len).tolist():
+                    aa, end = whole[starts[i] : ends[i]].lstrip(b"X"), int(ends[i])
+                    start = end - len(aa)
+                    if len(aa) < min_len or (start_met and aa[:1] != b"M") or (end_stop and aa[-1:] != b"*"):
+                        continue
+                    s, e = (frame + 3 * start + 1, frame + 3 * end) if strand == "+" else (n - frame - 3 * end + 1, n - frame - 3 * start)
+                    yield strand, frame, s, e, aa.decode()
+
+    schema = pa.schema([("name", pa.string()), ("strand", pa.string()), ("frame", pa.int32()), ("s", pa.int64()), ("e", pa.int64()), ("aa", pa.string())])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for name, text in zip(b.column("name"), b.column("seq")):
+                rows.extend((name.as_py(), *x) for x in found((text.as_py() or "").encode()))
+                if len(rows) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    ascii_ = df.select("name", F.regexp_replace("seq", r"[^\x00-\x7F]", "N").alias("seq"))  # a character is a byte
+    return ascii_.mapInArrow(run, "name string, strand string, frame int, s long, e long, aa string")

@@ -195,3 +195,12 @@ def test_quality_histogram_counts_in_tasks(spark):
     out = kmers.quality_histogram(df, 3, 15)
     assert {x.depth: x.kmers for x in out.collect()} == want
     assert "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_orfs_of_odd_letters(spark):
+    """Letters outside ASCII and ACGT give X, U is a letter of the other strand alone; frames are read without a plan for each codon."""
+    df = sequences.orfs(spark.createDataFrame([("x", "éatgaaaTAAccU"), ("none", None), ("short", "AC")], "name string, seq string"), 2)
+    got = sorted((x.name, x.strand, x.frame, x.s, x.e, x.aa) for x in df.collect())
+    assert ("x", "+", 1, 2, 10, "MK*") in got
+    assert ("x", "-", 0, 2, 13, "RLFH") in got and {x[0] for x in got} == {"x"}
+    assert "transform(" not in df._jdf.queryExecution().toString()
