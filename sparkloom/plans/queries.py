@@ -526,7 +526,7 @@ def pgi_stat(spark, d):
 @query(f"WITH {SOLID}, {_kmer_sql(17)}, c AS (SELECT kmer FROM km GROUP BY kmer HAVING count(*) >= 3), m AS (SELECT name, off + 1 AS s, off + 17 AS e FROM km JOIN c USING (kmer)), {sql_islands('a', 'm', 'name', 11)}, b AS (SELECT * FROM a WHERE e - s + 1 >= 50), {sql_islands('z', 'b', 'name', 11)} SELECT name, s, e FROM z")
 def rept_s_kmer(spark, d):
     """Repeated k-mers as runs: union with fill, excise, fill."""
-    r = kmers.repeats(fx.sequences(spark, d, solid=True), 17, 3)
+    r = kmers.repeats(fx.sequences(spark, d, solid=True), 17, 3, gap=10)
     return intervals.span(intervals.span(intervals.span(r, ["name"], "fill", 10), ["name"], "excise", 50), ["name"], "fill", 10)
 
 

@@ -3,11 +3,12 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from sparkloom.operators import blocks, chains, graphs, kmers
+from sparkloom.operators import blocks, chains, graphs, intervals, kmers
 
 
 def test_pre_net_against_bitmaps(spark):
@@ -278,3 +279,29 @@ def test_cover_of_many_sets(spark):
     out = graphs.greedy_cover(spark.createDataFrame(rows, "set string, seq long, item long"))
     assert [tuple(x) for x in out.orderBy("step").collect()] == want
     assert "LocalTableScan" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == ["step", "set", "gain"]
+
+
+@pytest.mark.parametrize("k, least, gap, size", [(17, 3, 10, 400), (7, 2, 0, 1 << 23), (31, 2, 3, 90)])
+def test_repeats_as_runs(spark, monkeypatch, k, least, gap, size):
+    """Every position under a k-mer that occurs often, by plain counting; runs come joined, across chunks of texts too."""
+    r = random.Random(k)
+    common = ["".join(r.choice("ACGT") for _ in range(60)) for _ in range(3)]
+    turned = [x[::-1].translate(str.maketrans("ACGT", "TGCA")) for x in common]
+    texts = ["".join(r.choice([*common, *turned, "N", "", "é", "ACGTTGCAAT" * 3, "A"]) + "".join(r.choice("ACGT") for _ in range(r.randrange(30))) for _ in range(r.randrange(12))) for _ in range(40)]
+    canonical = lambda x: min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    places = [(i, o, canonical(t[o : o + k])) for i, t in enumerate(texts) for o in range(len(t) - k + 1) if set(t[o : o + k]) <= set("ACGT")]
+    many = Counter(x for _, _, x in places)
+    want = []
+    for i, o, x in places:
+        if many[x] >= least:
+            if want and want[-1][0] == i and o <= want[-1][2] + gap:
+                want[-1][2] = o + k
+            else:
+                want.append([i, o + 1, o + k])
+    monkeypatch.setattr(kmers, "CHUNK", size)
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, None])], "name string, seq string").repartition(3)
+    got = kmers.repeats(df, k, least, gap)
+    if size > 1000:
+        assert sorted([int(x.name), x.s, x.e] for x in got.collect()) == want
+    joined = intervals.islands(got, ["name"], gap + 1)
+    assert sorted([int(x.name), x.s, x.e] for x in joined.collect()) == want
