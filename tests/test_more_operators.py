@@ -305,3 +305,43 @@ def test_repeats_as_runs(spark, monkeypatch, k, least, gap, size):
         assert sorted([int(x.name), x.s, x.e] for x in got.collect()) == want
     joined = intervals.islands(got, ["name"], gap + 1)
     assert sorted([int(x.name), x.s, x.e] for x in joined.collect()) == want
+
+
+def test_hashes_of_a_passage_are_joined_once(spark):
+    """Names that share a passage make one row each to join for all of its hashes; k-mers are characters, and records of one name are one set."""
+    r = random.Random(3)
+    passage = "".join(r.choice("ACGT né") for _ in range(300))
+    texts = [(f"n{i % 29}", "".join(r.choice("ACGTé") for _ in range(40)) + (passage if i % 3 else "") + "".join(r.choice("AC") for _ in range(9))) for i in range(30)] + [("short", "ACG"), ("none", None), ("copy", passage), ("twin", passage)]
+    plain = "".join(r.choice("ACGT") for _ in range(50))
+    texts += [("ascii", plain), ("latin", "é" + plain), ("wide", plain + "Жé" + plain[:30]), ("far", "\U0001f600" + plain[:30] + "Жé" + plain)]
+    df = spark.createDataFrame(texts, "name string, seq string")
+    sets = {}
+    for n, t in texts:
+        sets.setdefault(n, set()).update((t or "")[i : i + 21] for i in range(len(t or "") - 20))
+    want = {(a, b): (len(sets[a] & sets[b]), round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 4)) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    hashes = kmers.minimizers(df, 21)
+    assert hashes.count() == sum(map(len, sets.values()))
+    pairs = kmers.similarity(hashes, 21)
+    assert {(x.n1, x.n2): (x.shared, x.jaccard) for x in pairs.collect()} == want
+    joined = [int(m) for m in made_by_joins(pairs)]
+    assert max(joined) < sum(n for n, _ in want.values()) / 5, joined
+
+
+def made_by_joins(df):
+    """Rows that the plan's joins made, once it has run."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def visit(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return visit(node.executedPlan())
+        if "QueryStage" in name:
+            return visit(node.plan())
+        if "Join" in name:
+            out.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+
+    visit(plan)
+    return out
