@@ -19,6 +19,8 @@ from .common import arrow_map, small_batches
 from .words import text_bytes
 
 DIMS, GRAMS = 4096, (2, 3)
+#: Rows and bytes of texts that are counted at once: arrays of eight bytes for each byte and each dimension are made of them.
+ROWS, BYTES = 64, 1 << 18
 #: Labelled rows of a language that the centroids are fitted on, about, and languages (the most frequent); bounds of the fit alone.
 SAMPLE, LANGUAGES, CENTROIDS = 600, 1000, 4
 #: Bounds of rejection: they keep all but this share of a language's held-out texts and of their beginnings of CUTS bytes.
@@ -40,7 +42,7 @@ def counts(column: pa.Array):
     raw, offsets = text_bytes(column)
     at = 0
     while at < len(column):
-        to = max(at + 1, min(at + 256, len(column), int(np.searchsorted(offsets, offsets[at] + (2 << 20)))))
+        to = max(at + 1, min(at + ROWS, len(column), int(np.searchsorted(offsets, offsets[at] + BYTES))))
         x = _PLAIN[raw[offsets[at] : offsets[to]]].astype(np.uint32)
         ends = offsets[at + 1 : to + 1] - offsets[at]
         total = np.zeros((to - at) * DIMS, np.int64)

@@ -553,3 +553,19 @@ def test_plan_places_every_length_once(counts, grain):
         fill[first : first + hi - lo] += length
         left[length] -= hi - lo
     assert not left.any() and (n == 0 or (fill.max() <= 32 and fill.min() > 0))
+
+
+def test_counts_of_language_id_take_little_memory():
+    """A batch of 2 MB is counted in small blocks: the arrays of a block stay under 20 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array(["some plain words of a text " * 75] * 1000, pa.string())
+    tracemalloc.start()
+    try:
+        rows = sum(len(c) for _, c in langid.counts(column))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 1000 and peak < 20 << 20, peak
