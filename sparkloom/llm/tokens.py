@@ -33,11 +33,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, end_id: int = 2)
     def run(batches):
         from pyspark import TaskContext
 
-        enc, end, row, part = encoder(path), int(end_id).to_bytes(4, "little"), 0, TaskContext.get().partitionId()
-        for b in batches:
-            raw = [x + end for x in enc.encode([t or "" for t in b.column("text").to_pylist()])]
-            ends = np.cumsum([0, *[len(x) // 4 for x in raw]], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+        enc, row, part = encoder(path), 0, TaskContext.get().partitionId()
+        for b, flat, ends in enc.stream(batches):
+            ends = ends + np.arange(len(ends))
+            held = np.empty(ends[-1], np.int32)
+            own = np.ones(len(held), bool)
+            own[ends[1:] - 1] = False
+            held[own], held[~own] = flat, end_id
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(held))
             n = b.num_rows
             yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(n, part, np.int32)), "row": pa.array(np.arange(row, row + n)), "doc_id": b.column("doc_id").cast(pa.int64()), "ids": ids})
             row += n

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,6 +125,19 @@ def test_encoder_is_the_library(text):
     assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.one_of(st.none(), st.text(), st.text("aé漢B1!\n\r\t \u00a0\u3000\x85\x1f", max_size=30), st.sampled_from(["<|endoftext|>", "a <|endoftext|> b", "x,", "x!?.", "don't", "it's\nso"])), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_arrow_batches_are_encoded_as_the_library_does(texts):
+    """op3: words that Arrow cuts have the ids of whole texts, in one batch and over several."""
+    enc = encode.encoder(encode.tokenizer_path())
+    want = [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, ends = enc.encode_array(pa.array(texts, pa.string()))
+    assert [ids[s:e].tolist() for s, e in zip(ends[:-1], ends[1:])] == want
+    parts = [pa.record_batch({"text": pa.array(texts[i : i + 5], pa.string())}) for i in range(0, len(texts), 5)]
+    got = [ids[s:e].tolist() for _, ids, ends in enc.stream(iter(parts)) for s, e in zip(ends[:-1], ends[1:])]
+    assert got == want
+
+
 def ids_of(text, end):
     tok = encode.encoder(encode.tokenizer_path()).tok
     return [*tok.encode(text or "", add_special_tokens=False).ids, end]
