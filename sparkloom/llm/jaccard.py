@@ -5,6 +5,8 @@
    results, this one keeps lists short.
 2. Texts with equal sets are one class. Classes with the same size and the same prefix (the part
    of a set that must meet that of a partner) are one group; only groups are indexed.
+   Prefix shingles that a single group holds are in no list and never leave their task: a bit table
+   of a fixed size, made from shortened hashes of all, tells which ones surely are.
 3. Groups that share a prefix shingle, and pass the size and position filters, are candidates.
    Lists expand to classes; pairs whose marks (parities of counts by hash) leave room for enough
    overlap are verified on whole sets.
@@ -33,6 +35,11 @@ COUNTERS, PARTS = 1 << 20, 64
 #: Numbers of 64 bits in a class's marks, which bound overlaps from above; sets of more than BIG have wide ones too.
 MARKS, WIDE, BIG = 16, 64, 256
 
+#: Binary digits of a shingle hash that say its part of the bit table, those sent besides, and the digits of a bit's place in a part.
+PART, SENT, PLACE = 10, 32, 17
+#: Hashes that a task gathers before it sends them.
+GATHER = 1 << 20
+
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
@@ -113,6 +120,78 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, sig binary, items array<long>")
 
 
+def shared_bits(index: DataFrame) -> np.ndarray:
+    """A bit for each start of PART + PLACE digits of a hash: set where two rows' ``prefix`` hold a hash that starts so.
+
+    Hashes travel by their first digits, sorted and by bytes; equal starts of different hashes
+    set a bit too many, and that is all. The table's size does not depend on the data.
+    """
+
+    def send(batches):
+        held, n = [], 0
+
+        def out():
+            h = np.sort(np.concatenate(held))
+            ends = np.searchsorted(h >> np.uint64(64 - PART), np.arange((1 << PART) + 1))
+            low = (h >> np.uint64(64 - PART - SENT)).astype(np.uint32)
+            parts = [k for k in range(1 << PART) if ends[k] < ends[k + 1]]
+            raw = [low[ends[k] : ends[k + 1]].view(np.uint8).reshape(-1, 4).T.tobytes() for k in parts]
+            return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "low": pa.array(raw, pa.binary())})
+
+        for b in batches:
+            held.append(b.column("prefix").flatten().to_numpy().view(np.uint64))
+            n += len(held[-1])
+            if n >= GATHER:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    def find(batches):
+        part, held = None, []
+
+        def out():
+            low = np.sort(np.concatenate([np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0] for x in held]))
+            bits = np.zeros(1 << PLACE, bool)
+            bits[low[1:][low[1:] == low[:-1]] >> np.uint32(SENT - PLACE)] = True
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        for b in batches:
+            for k, x in zip(b.column("part").to_pylist(), b.column("low").to_pylist()):
+                if k != part and held:
+                    yield out()
+                    held = []
+                part = k
+                held.append(x)
+        if held:
+            yield out()
+
+    spread = arrow_map(index.select("prefix"), send, "part int, low binary").repartition("part").sortWithinPartitions("part")
+    table = np.zeros((1 << PART, (1 << PLACE) // 8), np.uint8)
+    for k, x in arrow_map(spread, find, "part int, bits binary").collect():
+        table[k] = np.frombuffer(x, np.uint8)
+    return table.reshape(-1)
+
+
+def _shared_tokens(index: DataFrame) -> DataFrame:
+    """gid, n, pos, token of the prefixes (columns doc_id, n, prefix): all that two rows hold, and a few more."""
+    shared = index.sparkSession.sparkContext.broadcast(shared_bits(index))
+
+    def run(batches):
+        table = shared.value
+        for b in batches:
+            prefix = b.column("prefix")
+            ends = prefix.offsets.to_numpy()
+            token = prefix.flatten().to_numpy()
+            at = (token.view(np.uint64) >> np.uint64(64 - PART - PLACE)).astype(np.int64)
+            keep = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))[keep]
+            pos = keep - (ends[:-1] - ends[0])[row]
+            yield pa.Table.from_pydict({"gid": pa.array(b.column("doc_id").to_numpy()[row]), "n": pa.array(b.column("n").to_numpy()[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "token": pa.array(token[keep])})
+
+    return arrow_map(index.select("doc_id", "n", "prefix"), run, "gid long, n int, pos int, token long")
+
+
 def _passes(percent: int, a: str, b: str, overlap: str) -> str:
     """overlap / (a + b - overlap) >= percent / 100, in whole numbers."""
     return f"{100 + percent} * ({overlap}) >= {percent} * ({a} + {b})"
@@ -140,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     held = live.select("doc_id", "n", "psig").join(groups, ["n", "psig"])
     others = scratch.keep(held.filter("doc_id <> gid").select("doc_id", "psig").distinct(), "others")
     index = without(live.select("doc_id", "psig", "n", "prefix"), ["doc_id", "psig"], others)
-    index = index.select(F.col("doc_id").alias("gid"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    index = _shared_tokens(index)
     # the least place of members that meet in several lists is that of the same shingle for all of them
     lists = collapsed(index.withColumnRenamed("gid", "cls"), ["n"], ["pos"]).withColumnRenamed("cls", "gid")
 

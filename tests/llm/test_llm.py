@@ -117,6 +117,20 @@ def test_long_lists_of_near_copies(spark, seed):
     assert got == {(d, c) for d, _, c in linked(rows)}
 
 
+def test_prefix_shingles_of_one_group_stay_in_their_task(spark):
+    """op2: of many prefixes only hashes that two rows hold are sent, with few others."""
+    r = np.random.default_rng(3)
+    own = [r.integers(-(1 << 63), (1 << 63) - 1, 50).tolist() for _ in range(2000)]
+    both = r.integers(-(1 << 63), (1 << 63) - 1, 40).tolist()
+    rows = [(i, 60, [*x[:i % 9], *([both[i // 50]] if i % 50 < 2 else []), *x[i % 9 :]]) for i, x in enumerate(own)] + [(9999, 1, [])]
+    index = spark.createDataFrame(rows, "doc_id long, n long, prefix array<long>").repartition(5)
+    got = [tuple(x) for x in jaccard._shared_tokens(index).collect()]
+    want = {(d, n, k, x) for d, n, p in rows for k, x in enumerate(p) if x in both}
+    every = {(d, n, k, x) for d, n, p in rows for k, x in enumerate(p)}
+    assert want <= set(got) <= every and len(got) == len(set(got)) < len(want) + 50
+    assert not jaccard.shared_bits(index.limit(0)).any()
+
+
 # --- op 3 and the encoder ---------------------------------------------------------------------
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abC é漢 \n\t\r.,'s1_-\x00\x1c\x85 ")) | st.characters(codec="utf-8"), max_size=60))
