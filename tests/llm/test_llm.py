@@ -540,6 +540,30 @@ def test_verified_is_the_edit_distance(spark):
     assert got == {i: edits(a, b) <= max(len(a), len(b)) // 10 for i, (a, b) in enumerate(pairs)}
 
 
+def test_fuzzy_lines_repeating_themselves_are_cut_at_their_places(spark):
+    word, r = "thor ", random.Random(5)
+    pairs = [(word * 300, word * 150 + "x" * 40 + word * 150), (word * 300, word * 300 + "y" * 60), (word * 300, "z" * 70 + word * 300)]
+    for n in (400, 1500):
+        x = [r.choice("abcdefgh ") for _ in range(n)]
+        y = list(x)
+        for i in r.sample(range(n), n // 25):
+            y[i] = "#"
+        pairs.append(("".join(x), "".join(y)))
+    df = spark.createDataFrame([(i, -i, max(len(x), len(y)) // 10, x, y) for i, (x, y) in enumerate(pairs)], "a long, b long, most int, x string, y string")
+    df = lines._stripped(df)
+    for _ in range(lines.HALVES):
+        df = lines._halves(df)
+    got = {i.a: i.d for i in lines._distance(df, 2).groupBy("a").agg(F.sum("d").alias("d")).collect()}
+    assert [got[i] for i in range(3)] == [40, 60, 70]
+    assert all(edits(*pairs[i]) <= got[i] <= len(pairs[i][0]) // 10 for i in (3, 4))
+
+
+def test_fuzzy_lines_take_edges_once_for_a_line(spark):
+    plan = lines.simhashes(lines.occurrences(frame(spark, LINES)))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    part = next(i for i, x in enumerate(plan) if "Generate explode(" in x)
+    assert any("xxhash64(tail" in x for x in plan[part:]) and not any("xxhash64(tail" in x for x in plan[:part])
+
+
 def test_line_dedup_is_native(spark):
     plan = lines.dedup_lines(frame(spark, LINES))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
